@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import quality_rules, simhash, substring_dedup
 from .common import table
 
 #: DuckDB's form of the word pattern.
@@ -67,11 +67,29 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {SQL_WORD}) AS w FROM documents),
+windows AS (SELECT rid, doc_id, i, hash(w[i:i + 49]) AS k, md5(array_to_string(w[i:i + 49], ' ')) AS k2
+  FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+covered AS (SELECT rid, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY k, k2) < doc_id),
+gone AS (SELECT DISTINCT rid, i + j AS pos FROM covered, range(50) AS r(j)),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op4_simhash_components": op4_simhash_components,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_substring_dedup": OP10_SQL,
     "op1_line_quality": OP1_SQL,
 }
