@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash, substring_dedup
+from . import mixing, packing, quality_rules, sharding, simhash, substring_dedup
 from .common import table
 
 #: DuckDB's form of the word pattern.
@@ -67,6 +67,18 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -83,13 +95,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (rid)
 """
 
+OP7_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {SQL_WORD}))::BIGINT AS size,
+    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sized GROUP BY source),
+caps AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, {mixing.MAX_EPOCHS} * source_size AS cap FROM by_source),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM caps),
+level AS (SELECT min(level) FILTER (level < cap::DOUBLE / weight) AS first_level FROM (
+  SELECT level, cap, weight, sum((level < cap::DOUBLE / weight)::INT) OVER (ORDER BY cap::DOUBLE / weight, r) AS nth FROM levels) WHERE nth = 1),
+targets AS (
+  SELECT source, source_size, least(coalesce(first_level * weight, cap::DOUBLE), cap::DOUBLE) AS target FROM caps, level),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole FROM targets),
+runs AS (
+  SELECT s.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized s)
+SELECT doc_id, size, source_size, target,
+  (whole * size + greatest(0, least(size, floor(target)::BIGINT - whole * source_size - start)))::BIGINT AS taken
+FROM runs JOIN parts ON runs.source IS NOT DISTINCT FROM parts.source
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
+    "op2_karmarkar_karp": op2_karmarkar_karp,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_components": op4_simhash_components,
+    "op7_capped_water_filling": op7_capped_water_filling,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_capped_water_filling": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op1_line_quality": OP1_SQL,
 }
