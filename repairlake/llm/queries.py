@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, simhash, substring_dedup
-from .common import table
+from . import mixing, packing, quality_rules, sharding, simhash, substring_dedup, token_store
+from .common import shared_dir, table
 
 #: DuckDB's form of the word pattern.
 SQL_WORD = r"'[^\x20\x09-\x0D]+'"
@@ -75,6 +76,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    where = f"{shared_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(table(spark, sf_dir, "documents"), where, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_store(spark, where)
+
+
 def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -123,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_karmarkar_karp": op2_karmarkar_karp,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_components": op4_simhash_components,
+    "op6_token_store": op6_token_store,
     "op7_capped_water_filling": op7_capped_water_filling,
     "op10_substring_dedup": op10_substring_dedup,
 }
