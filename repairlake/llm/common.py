@@ -52,9 +52,9 @@ def unstage(*tables: DataFrame) -> None:
                 where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, start: Callable | None = None) -> DataFrame:
-    """mapInArrow over whole batches as lists of Python values: ``rows`` turns columns into columns of
-    any length. ``start()``, once a task, returns what ``rows`` gets as its second argument."""
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, start: Callable | None = None, at_once: int = 1000) -> DataFrame:
+    """mapInArrow over at most at_once rows at a time as lists of Python values: ``rows`` turns columns into
+    columns of any length. ``start()``, once a task, returns what ``rows`` gets as its second argument."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -64,9 +64,11 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
         for batch in batches:
-            got = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            made = rows(got, state) if start else rows(got)
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                got = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+                made = rows(got, state) if start else rows(got)
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
 

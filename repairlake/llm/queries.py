@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, simhash, substring_dedup, token_store
+from . import curves, mixing, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, token_store, toxicity
 from .common import shared_dir, table
 
 #: DuckDB's form of the word pattern.
@@ -76,6 +76,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(table(spark, sf_dir, "embeddings"), every=20)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +92,14 @@ def op7_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op8_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -127,17 +139,34 @@ SELECT doc_id, size, source_size, target,
 FROM runs JOIN parts ON runs.source IS NOT DISTINCT FROM parts.source
 """
 
+OP5_SQL = """
+WITH good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+  FROM good q, good c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_karmarkar_karp": op2_karmarkar_karp,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_components": op4_simhash_components,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_token_store": op6_token_store,
     "op7_capped_water_filling": op7_capped_water_filling,
+    "op8_naive_bayes_svm": op8_naive_bayes_svm,
+    "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_hilbert_neighbours": OP5_SQL,
     "op7_capped_water_filling": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op1_line_quality": OP1_SQL,

@@ -71,7 +71,7 @@ def joint_bits(distinct: DataFrame) -> tuple[np.ndarray, int]:
         both = (bits.T @ bits).astype(np.int64).ravel().tolist()
         return {"cell": [*range(4096), 4096], "n": [*both, len(bits)]}
 
-    got = dict(arrow_map(distinct.select("fp"), rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
+    got = dict(arrow_map(distinct.select("fp"), rows, "cell int, n long", at_once=10_000).groupBy("cell").agg(F.sum("n").alias("n")).collect())
     return np.array([got.get(i, 0) for i in range(4096)], np.int64).reshape(64, 64), got.get(4096, 0)
 
 
@@ -209,7 +209,7 @@ def lookups(distinct: DataFrame, plan: Plan, probing: bool) -> DataFrame:
                 out.append((np.full(len(f), part, np.int32), k, f, lead, near))
         return _columns(out)
 
-    return arrow_map(distinct.select("fp"), rows, ROWS)
+    return arrow_map(distinct.select("fp"), rows, ROWS, at_once=10_000)
 
 
 def make_plan(distinct: DataFrame, max_bits: int = MAX_BITS, parts: int | None = None) -> Plan:
@@ -225,7 +225,7 @@ def make_plan(distinct: DataFrame, max_bits: int = MAX_BITS, parts: int | None =
             out.append((np.full(len(fp), part, np.int32), key, blank.cell(key, part), fp, np.array(b["n"], np.int64)))
         return {c: np.concatenate([p[i] for p in out]) for i, c in enumerate(("part", "bits", "cell", "fp", "n"))}
 
-    keyed = arrow_map(distinct.select("fp", "n"), rows, "part int, bits long, cell long, fp long, n long")
+    keyed = arrow_map(distinct.select("fp", "n"), rows, "part int, bits long, cell long, fp long, n long", at_once=10_000)
     by_key = staged(keyed.groupBy("part", "bits", "cell").agg(F.count("*").alias("k"), F.max_by("fp", F.struct("n", "fp")).alias("lead")), "keys")
     for r in by_key.groupBy("part", "cell").agg(F.sum("k").alias("k")).collect():
         plan.cells[r.part][r.cell] = r.k
