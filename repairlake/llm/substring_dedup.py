@@ -173,7 +173,7 @@ def _passages(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
 def _streamed(passages: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, s, e, digest): words s to e are covered (no digest), or the window at s is not in the
     reference of its anchor."""
-    reference = passages.where("doc_id = m").groupBy("a").agg(F.min_by("words", F.struct("th", "lo")).alias("reference"))
+    reference = staged(passages.where("doc_id = m").groupBy("a").agg(F.min_by("words", F.struct("th", "lo")).alias("reference")), "reference")
 
     def start():
         return OrderedDict()
@@ -241,6 +241,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs: doc_id, th, text, neither id nor text null."""
     anchors = staged(anchor_rows(docs, window), "anchors")
     shared = anchors.groupBy("a").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most").select("a", "m")
+    shared = staged(shared, "shared")  # a table of its own: only then can Spark split the join where an anchor is hot
     places = staged(anchors.join(shared, "a"), "places")
     unstage(anchors)
     near, _ = _split_by(docs, places)
@@ -250,6 +251,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     unstage(passages)
     rest = found.where("digest is not null")
     first = rest.groupBy("digest").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most")).where("m < most").select("digest", "m")
+    first = staged(first, "first")
     more = rest.join(first, "digest").where("doc_id > m").select("doc_id", "th", "s", "e")
     spans = found.where("digest is null").select("doc_id", "th", "s", "e").unionByName(more)
     return staged(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "covered")
