@@ -58,9 +58,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for each row of docs."""
-    rows = lambda b: {"doc_id": b["doc_id"], "fp": [fingerprint(t, shingle) for t in b["text"]]}
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, fp long")
+    """(doc_id, th, fp long) for each row of docs; th is a hash of the text."""
+    rows = lambda b: {"doc_id": b["doc_id"], "th": b["th"], "fp": [fingerprint(t, shingle) for t in b["text"]]}
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), rows, "doc_id long, th long, fp long")
 
 
 def joint_bits(distinct: DataFrame) -> tuple[np.ndarray, int]:
@@ -250,23 +250,29 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, parts: int | None = Non
     return met.unionByName(star)
 
 
+def _grouped(own: DataFrame, max_bits: int, parts: int | None) -> DataFrame:
+    """(fp, root, first) for each distinct fingerprint of own; first: its row of least (doc_id, th), nulls last."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    distinct = staged(own.groupBy("fp").agg(F.count("*").alias("n"), least), "distinct")
+    root = components(links(distinct.select("fp", "n"), max_bits, parts)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs (doc_id, text)."""
     own = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = staged(own.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct")
-    root = components(links(distinct, max_bits, parts)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = _grouped(own, max_bits, parts)
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     by_fp = staged(rooted.join(least, "root").select("fp", "component_id"), "components")
-    unstage(distinct)
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without all but one row of each component: that of the smallest doc_id, of its rows one with the
-    smallest text. All columns stay."""
-    inner = docs.select("doc_id", "text")
-    found = near_duplicates(inner, max_bits, shingle)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    lone = docs.join(first, docs.doc_id == first.doc_id, "left_semi")
-    return lone.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, parts: int | None = None) -> DataFrame:
+    """docs without all but one row of each component: that of the smallest doc_id (nulls last), of rows that
+    share it the one whose text has the smallest hash. All columns stay; identical rows are one."""
+    own = staged(fingerprints(docs, shingle), "fingerprints")
+    first = _grouped(own, max_bits, parts).groupBy("root").agg(F.min("first").alias("first"))
+    left = staged(first.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.th").alias("_keep_th")), "kept")
+    keyed = docs.withColumn("_own_id", F.col("doc_id").cast("long")).withColumn("_own_th", F.xxhash64("text"))
+    lone = keyed.join(left, F.col("_own_id").eqNullSafe(F.col("_keep_id")) & (F.col("_own_th") == F.col("_keep_th")), "left_semi")
+    return lone.dropDuplicates(["_own_id", "_own_th"]).select(*docs.columns)
