@@ -34,12 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def staged(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read back. It cuts the lineage, so that a
     lost executor costs only the tasks it ran, and keeps what several later jobs read from being made twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

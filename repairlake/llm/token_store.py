@@ -10,7 +10,7 @@ Format (three Parquet tables in one folder; digests are SHA-256):
 * manifests (part, first_token, n_docs, n_tokens, root, width): the Merkle root of the leaves of a part and
   the number of ids before it. The store's root is that of the parts' roots.
 
-A document's ids are cut where a rolling hash of the last 8 ids has its low 8 bits zero, at least 64 and at
+A document's ids are cut where a rolling hash of the last 4 ids has its low 8 bits zero, at least 64 and at
 most 1024 ids from the last cut, so that equal passages give equal chunks wherever they stand. Reading
 checks every chunk against its digest and every part against its manifest.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, staged, unstage
-from .wordhash import mix, ngrams
+from .wordhash import groups_of, mix, ngrams
 
 END_ID = 1
-ROLL, CUT_MASK, LEAST, MOST = 8, 0xFF, 64, 1024
+ROLL, CUT_MASK, LEAST, MOST = 4, 0xFF, 64, 1024
 PART_DOCS = 20_000
 CACHE_WORDS = 1_200_000
 
 _caches: dict[str, tuple] = {}
+_ends: dict[int, np.ndarray] = {}
 
 
 def _encoder(path: str):
@@ -59,62 +61,107 @@ def _encoder(path: str):
 
 
 def _fold(text: str | None) -> bytes:
-    """ASCII letters in lower case, as the tokenizer makes them, where nothing can depend on their case:
-    neither a special token's string nor a mark (U+0300 to U+037F) that composes with a letter."""
-    raw = (text or "").encode()
-    return raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+    """Letters in lower case, as the tokenizer makes them, where nothing can depend on their case: neither a
+    special token's string nor a mark (U+0300 to U+037F) that composes with a letter. Letters beyond ASCII
+    only where the whole text is Latin-1."""
+    text = text or ""
+    raw = text.encode()
+    if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
+        return raw
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return raw.lower()
+    return raw.lower() if text.isascii() else text.lower().encode()
 
 
 def _stem(word: bytes) -> bytes | None:
-    """What precedes a closing full stop or comma that the tokenizer splits off: that after an ASCII letter."""
-    return word[:-1] if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122 else None
+    """What precedes closing punctuation that the tokenizer splits off: that after a Latin letter."""
+    stem = word.rstrip(b".,!?;:%&*#$")
+    if not stem or len(stem) == len(word) or b"<|" in word:
+        return None
+    if stem[-1] < 128:
+        return stem if 97 <= stem[-1] <= 122 else None
+    last = stem.decode()[-1]
+    return stem if last.isalpha() and last < "\u0250" else None
+
+
+def _encode_words(tokenizer, words: list[bytes], kind: str) -> dict[bytes, bytes]:
+    """The ids of words. Those of small Latin letters only are one piece each, which ends with the one id of theirs
+    that ends a word, so that they can be encoded many at a time."""
+    suffix = tokenizer.model.end_of_word_suffix
+    texts = [w.decode() for w in words]
+    plain = [i for i, t in enumerate(texts) if suffix and t.isalpha() and (t.isascii() or max(t) < "\u0250" and t == t.lower())]
+    out: dict[bytes, bytes] = {}
+    if plain:
+        key = id(tokenizer)
+        if key not in _ends:
+            vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+            _ends[key] = np.zeros(max(vocabulary.values()) + 1, bool)
+            _ends[key][[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            lines = [" ".join([texts[i] for i in some[j : j + 64]]) for j in range(0, len(some), 64)]
+            ids = array(kind, [x for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids])
+            stops = ((np.flatnonzero(_ends[key][np.frombuffer(ids, np.dtype(kind))]) + 1) * ids.itemsize).tolist()
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not end each word with one id")
+            raw, begin = ids.tobytes(), 0
+            for i, stop in zip(some, stops, strict=True):
+                out[words[i]] = raw[begin:stop]
+                begin = stop
+    rest = sorted(set(range(len(words))) - set(plain)) if len(plain) < len(words) else []
+    for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+        out[words[i]] = array(kind, e.ids).tobytes()
+    return out
 
 
 def encode_all(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """The ids of each text with the end id, as bytes of the store's width."""
     tokenizer, cache, width = _encoder(path)
-    kind = np.dtype(f"<u{width}")
-    end = np.array([end_id], kind).tobytes()
-    split = [_fold(t).split() for t in texts]
-    out, todo = [], 0
-    while todo < len(split):
-        words: set[bytes] = set()
-        at = todo
-        while at < len(split) and (at == todo or len(words) < CACHE_WORDS // 4):
-            words.update(split[at])
-            at += 1
+    kind = "H" if width == 2 else "I"
+    end = array(kind, [end_id]).tobytes()
+    out = []
+    for begin, stop in groups_of([t or "" for t in texts], 4 << 20):
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        missing = words.difference(cache)
+        get = cache.get
+        split = [_fold(t).split() for t in texts[begin:stop]]
+        found = [list(map(get, words)) for words in split]
+        holes = [[i for i, v in enumerate(values) if v is None] for values in found]
+        missing = {words[i] for words, at in zip(split, holes, strict=True) for i in at}
         closed = {w: s for w in missing if (s := _stem(w)) is not None}
-        whole = list(((missing - closed.keys()) | set(closed.values()) | {b".", b","}).difference(cache))
-        found = tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
-        cache.update(zip(whole, (np.array(e.ids, kind).tobytes() for e in found), strict=True))
-        cache.update((w, cache[s] + cache[w[-1:]]) for w, s in closed.items())
-        get = cache.__getitem__
-        out += [b"".join(map(get, of)) + end for of in split[todo:at]]
-        todo = at
+        whole = list(((missing - closed.keys()) | set(closed.values()) | {w[len(s) :] for w, s in closed.items()}).difference(cache))
+        cache.update(_encode_words(tokenizer, whole, kind))
+        for w, s in closed.items():
+            cache[w] = cache[s] + cache[w[len(s) :]]
+        for words, values, at in zip(split, found, holes, strict=True):
+            for i in at:
+                values[i] = cache[words[i]]
+            values.append(end)
+            out.append(b"".join(values))
     return out
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of a sequence of ids."""
-    n = len(ids)
-    out: list[int] = []
-    if n > LEAST:
-        g = ngrams(mix(ids.astype(np.uint64) + np.uint64(1)), ROLL)
-        marks = np.flatnonzero((g & np.uint64(CUT_MASK)) == 0) + ROLL
-        last = 0
-        for m in marks.tolist():
-            while m - last > MOST:
-                last += MOST
-                out.append(last)
-            if m - last >= LEAST and m < n:
-                out.append(m)
-                last = m
-        while n - last > MOST:
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash asks for a cut."""
+    g = ngrams(mix(ids.astype(np.uint64) + np.uint64(1)), ROLL)
+    return np.flatnonzero((g & np.uint64(CUT_MASK)) == 0) + ROLL
+
+
+def cuts(n: int, asked: list[int]) -> list[int]:
+    """The ends of the chunks of n ids with those marks, ascending; the first ROLL - 1 places cannot be cuts."""
+    out, last = [], 0
+    for m in asked:
+        while m - last > MOST:
             last += MOST
             out.append(last)
+        if m - last >= LEAST and m < n:
+            out.append(m)
+            last = m
+    while n - last > MOST:
+        last += MOST
+        out.append(last)
     out.append(n)
     return out
 
@@ -160,15 +207,23 @@ def _crc_columns(n_bytes: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+@lru_cache(4096)
+def _crc_nibbles(n_bytes: int) -> list[list[int]]:
+    """_crc_columns by four bits at a time."""
+    columns, out = _crc_columns(n_bytes), []
+    for at in range(0, 32, 4):
+        row = [0]
+        for c in columns[at : at + 4]:
+            row += [c ^ r for r in row]
+        out.append(row)
+    return out
+
+
 def crc_joined(first: int, second: int, n_bytes: int) -> int:
     """The CRC-32 of two pieces from their own, the second of n_bytes."""
-    out, columns, i = second, _crc_columns(n_bytes), 0
-    while first:
-        if first & 1:
-            out ^= columns[i]
-        first >>= 1
-        i += 1
-    return out
+    a, b, c, d, e, f, g, h = _crc_nibbles(n_bytes)
+    x = first
+    return second ^ a[x & 15] ^ b[x >> 4 & 15] ^ c[x >> 8 & 15] ^ d[x >> 12 & 15] ^ e[x >> 16 & 15] ^ f[x >> 20 & 15] ^ g[x >> 24 & 15] ^ h[x >> 28]
 
 
 def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -178,24 +233,29 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
         width = _encoder(tokenizer)[2]
         got: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "digests", "blobs", "width")}
         seen: set[bytes] = set()
-        for doc_id, raw in zip(b["doc_id"], encode_all(b["text"], tokenizer, end_id), strict=True):
-            ids = np.frombuffer(raw, f"<u{width}")
+        raws = encode_all(b["text"], tokenizer, end_id)
+        asked = marks(np.frombuffer(b"".join(raws), f"<u{width}"))  # of all texts at once; none is used that spans two
+        at = 0
+        for doc_id, raw in zip(b["doc_id"], raws, strict=True):
+            n = len(raw) // width
+            own = asked[np.searchsorted(asked, at + LEAST) : np.searchsorted(asked, at + n)] - at
+            at += n
             digests, blobs, begin = [], [], 0
-            for end in cuts(ids):
+            for end in cuts(n, own.tolist()):
                 blob = raw[begin * width : end * width]
                 digest = hashlib.sha256(blob).digest()
                 digests.append(digest)
                 blobs.append(None if digest in seen else blob)
                 seen.add(digest)
                 begin = end
-            for c, v in zip(got, (doc_id, len(ids), digests, blobs, width), strict=True):
+            for c, v in zip(got, (doc_id, n, digests, blobs, width), strict=True):
                 got[c].append(v)
         return got
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = staged(arrow_map(docs, rows, "doc_id long, n_tokens long, digests array<binary>, blobs array<binary>, width int"), "encoded")
+    made = staged(arrow_map(docs, rows, "doc_id long, n_tokens long, digests array<binary>, blobs array<binary>, width int"), "encoded", "zstd")
     each = made.select(F.explode(F.arrays_zip("digests", "blobs")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.blobs").alias("ids"))
-    each.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.parquet(f"{where}/chunks")
+    each.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{where}/chunks")
 
     def place(b: dict, count: list) -> dict:
         from pyspark import TaskContext
