@@ -194,7 +194,7 @@ def _streamed(passages: DataFrame, window: int) -> DataFrame:
             automaton = shard.get(reference)
             if automaton is None:
                 automaton = shard[reference] = Automaton(reference.split())
-                if len(shard) > 2000:
+                if len(shard) > 200:
                     shard.popitem(last=False)
             words = passage.split()
             matched = automaton.matching(words)
@@ -210,30 +210,15 @@ def _streamed(passages: DataFrame, window: int) -> DataFrame:
     return arrow_map(passages.join(reference, "a"), rows, "doc_id long, th long, s int, e int, digest binary", start)
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2^24 places over (doc_id, th); the driver gets at most 2^18 words of 64 bits."""
-    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << BITMAP_BITS))
-    words = keys.select(place.alias("p")).distinct().select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for w, b in words.collect():
-        out[w] = b
-    return out
-
-
 def _split_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs that may be among keys, and those that are not."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
-
-    @F.pandas_udf("boolean")
-    def among(p):
-        import pandas as pd
-
-        at = p.to_numpy(np.int64)
-        return pd.Series((bits.value[at >> 6] >> (at & 63)) & 1 != 0)
-
+    """docs that may be among keys, and those that are not, by a bitmap of 2^24 places over (doc_id, th). It is
+    broadcast as at most 2^18 words of 64 bits."""
     place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << BITMAP_BITS))
-    told = docs.withColumn("_may", among(place))
-    return told.where("_may").drop("_may"), told.where("not _may").drop("_may")
+    at = keys.select(place.alias("p")).distinct().select((F.col("p") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    bits = F.broadcast(staged(at.groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bitmap"))
+    put = docs.withColumn("_place", place)
+    on = (F.floor(F.col("_place") / 64).cast("int") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_place % 64 as int)) & 1") == 1)
+    return tuple(put.join(bits, on, how).drop("_place") for how in ("left_semi", "left_anti"))
 
 
 def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
