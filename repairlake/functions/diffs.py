@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .paths import LOW_SIGNAL_ENDINGS, any_of, ends, is_low_signal
-from .text import join_values, split_lines, strip
+from .text import join_values, let, split_lines, strip
 
 HEADER = "(?dm)^diff --git a/(.*?) b/(.*?)$"
 LINE_HEADER = r"^diff --git a/(.*?) b/(.*?)(?!.|\n)"
@@ -38,23 +38,22 @@ def changed_text(diff: Column) -> Column:
 def file_patches(diff: Column) -> Column:
     """array<struct<path, lines>> by first header. Lines before the first header belong to none; a further header
     of the same path adds its lines without itself."""
-    lines = split_lines(diff)
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, LINE_HEADER, 2).alias("path"), F.regexp_like(x, F.lit(LINE_HEADER)).alias("is")))
-    heads = F.filter(marked, lambda m: m["is"])
-    parts = F.transform(
-        heads,
-        lambda h, k: F.struct(
-            h["path"].alias("path"),
-            F.slice(lines, h["i"] + 1, F.coalesce(F.get(heads, k + 1)["i"], F.size(lines)) - h["i"]).alias("lines"),
-        ),
-    )
-    paths = F.array_distinct(F.transform(heads, lambda h: h["path"]))
 
-    def joined(path: Column) -> Column:
-        own = F.filter(parts, lambda p: p["path"] == path)
-        return F.flatten(F.transform(own, lambda p, k: F.when(k == 0, p["lines"]).otherwise(F.slice(p["lines"], 2, F.size(p["lines"])))))
+    def heads_of(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, LINE_HEADER, 2).alias("path"), (x.startswith("diff --git ") & F.regexp_like(x, F.lit(LINE_HEADER))).alias("is")))
+        return F.struct(lines.alias("lines"), F.filter(marked, lambda m: m["is"]).alias("heads"))
+
+    def cut(x: Column) -> Column:
+        lines, heads = x["lines"], x["heads"]
+        part = lambda h, k: F.struct(h["path"].alias("path"), F.slice(lines, h["i"] + 1, F.coalesce(F.get(heads, k + 1)["i"], F.size(lines)) - h["i"]).alias("lines"))
+        return F.struct(F.transform(heads, part).alias("parts"), F.array_distinct(F.transform(heads, lambda h: h["path"])).alias("paths"))
 
-    return F.transform(paths, lambda p: F.struct(p.alias("path"), joined(p).alias("lines")))
+    def joined(x: Column) -> Column:
+        own = lambda path: F.transform(F.filter(x["parts"], lambda p: p["path"] == path), lambda p, k: F.when(k == 0, p["lines"]).otherwise(F.slice(p["lines"], 2, F.size(p["lines"]))))
+        united = F.transform(x["paths"], lambda path: F.struct(path.alias("path"), F.flatten(own(path)).alias("lines")))
+        return F.when(F.size(x["paths"]) == F.size(x["parts"]), x["parts"]).otherwise(united)
+
+    return let(let(let(split_lines(diff), heads_of), cut), joined)
 
 
 def _counts_text(added: Column, removed: Column) -> Column:
@@ -80,9 +79,8 @@ def is_binary(patch: Column) -> Column:
 
 
 def is_low_signal_line(line: Column) -> Column:
-    bare = strip(F.regexp_replace(line, "^[+-]", ""))
-    noise = F.regexp_like(bare, F.lit(r"^[{}\[\],:0-9A-Fa-fx_.\"' -]+(?!.|\n)"))
-    return (bare == "") | (F.length(bare) > 500) | (noise & (F.length(bare) > 120))
+    noise = lambda bare: F.regexp_like(bare, F.lit(r"^[{}\[\],:0-9A-Fa-fx_.\"' -]+(?!.|\n)"))
+    return let(strip(F.regexp_replace(line, "^[+-]", "")), lambda bare: (bare == "") | (F.length(bare) > 500) | ((F.length(bare) > 120) & noise(bare)))
 
 
 def clean_patch(path: Column, lines: Column, most: int = EVIDENCE_LINES) -> Column:
@@ -95,17 +93,23 @@ def clean_patch(path: Column, lines: Column, most: int = EVIDENCE_LINES) -> Colu
         .when(F.regexp_like(x, F.lit("^[+-]")), F.when(is_low_signal_line(x), "L").otherwise("K"))
         .otherwise(F.when(strip(x) != "", "C").otherwise("B"))
     )
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"), x.alias("x")))
-    full = F.get(F.filter(marked, lambda m: m["k"].isin("H", "K", "C")), F.lit(most - 1))["i"]
-    end = F.get(F.filter(marked, lambda m: m["k"].isin("K", "C", "B") & (m["i"] >= full)), F.lit(0))["i"]
-    until = F.filter(marked, lambda m: end.isNull() | (m["i"] <= end))
-    late = lambda m: F.coalesce(m["i"] > full, F.lit(False))
-    kept = F.filter(until, lambda m: m["k"].isin("H", "K") | ((m["k"] == "C") & ~late(m)))
-    left = F.size(F.filter(until, lambda m: m["k"].isin("L", "B") | ((m["k"] == "C") & late(m))))
-    omitted = left + F.when(end.isNotNull(), F.greatest(F.lit(0), F.size(lines) - F.size(kept))).otherwise(0)
-    texts = F.transform(kept, lambda m: m["x"])
-    note = F.concat(F.lit("... omitted "), omitted.cast("string"), F.lit(" low-signal or excess diff lines ..."))
-    out = strip(F.array_join(F.when(omitted > 0, F.array_append(texts, note)).otherwise(texts), "\n"))
+    marked = let(lines, lambda own: F.transform(own, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"), x.alias("x"))))
+    full = lambda m: F.struct(m.alias("m"), F.get(F.filter(m, lambda y: y["k"].isin("H", "K", "C")), F.lit(most - 1))["i"].alias("full"))
+    end = lambda s: F.struct(s["m"].alias("m"), s["full"].alias("full"), F.get(F.filter(s["m"], lambda y: y["k"].isin("K", "C", "B") & (y["i"] >= s["full"])), F.lit(0))["i"].alias("end"))
+    late = lambda s, y: F.coalesce(y["i"] > s["full"], F.lit(False))
+
+    def parts(s: Column) -> Column:
+        until = lambda y: s["end"].isNull() | (y["i"] <= s["end"])
+        kept = F.filter(s["m"], lambda y: until(y) & (y["k"].isin("H", "K") | ((y["k"] == "C") & ~late(s, y))))
+        left = F.size(F.filter(s["m"], lambda y: until(y) & (y["k"].isin("L", "B") | ((y["k"] == "C") & late(s, y)))))
+        return F.struct(F.transform(kept, lambda y: y["x"]).alias("texts"), left.alias("left"), s["end"].isNotNull().alias("cut"), F.size(s["m"]).alias("n"))
+
+    def said(s: Column) -> Column:
+        omitted = s["left"] + F.when(s["cut"], F.greatest(F.lit(0), s["n"] - F.size(s["texts"]))).otherwise(0)
+        note = F.concat(F.lit("... omitted "), omitted.cast("string"), F.lit(" low-signal or excess diff lines ..."))
+        return strip(F.array_join(F.when(omitted > 0, F.array_append(s["texts"], note)).otherwise(s["texts"]), "\n"))
+
+    out = let(let(let(let(marked, full), end), parts), said)
     return F.when(is_low_signal(path) | is_binary(F.array_join(lines, "\n")), F.lit("")).otherwise(out)
 
 
@@ -125,10 +129,14 @@ def _header_paths(diff: Column) -> Column:
 def summarize_evidence(diff: Column) -> Column:
     """Files, hunks and counts of an evidence text. Evidence is compacted to one line, so that the header's
     second path runs to the end of the text and the counts are 0; texts with line ends are counted in full."""
-    lines, files = split_lines(diff), _header_paths(diff)
-    hunks = F.size(F.filter(lines, lambda x: x.startswith("@@")))
-    named = F.when(F.size(files) > 0, F.concat(F.lit("files="), join_values(files), F.lit("; "))).otherwise("")
-    said = F.concat(named, F.lit("hunks="), hunks.cast("string"), F.lit("; "), _counts_text(count_lines(lines, "+"), count_lines(lines, "-")))
+
+    def told(lines: Column) -> Column:
+        hunks = F.size(F.filter(lines, lambda x: x.startswith("@@")))
+        files = join_values(F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(LINE_HEADER))), lambda x: F.regexp_extract(x, LINE_HEADER, 2)))
+        named = F.when(files != "", F.concat(F.lit("files="), files, F.lit("; "))).otherwise("")
+        return F.concat(named, F.lit("hunks="), hunks.cast("string"), F.lit("; "), _counts_text(count_lines(lines, "+"), count_lines(lines, "-")))
+
+    said = let(split_lines(diff), told)
     return F.when(is_binary_or_low_signal_diff(diff), F.lit("low-signal or binary diff omitted")).otherwise(said)
 
 

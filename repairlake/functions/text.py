@@ -69,6 +69,12 @@ SECRET_PATTERNS = (r"sk-[A-Za-z0-9_-]{12,}", r"(?:ghp|github_pat|gho|ghu|ghs|ghr
 POLICIES = ("keep", "light", "strict", "semantic")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for the row. Inside lambdas Catalyst shares nothing, so that an
+    expression that a lambda only refers to would otherwise be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(value) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(""))
@@ -94,8 +100,7 @@ def compact(value) -> Column:
 
 def split_lines(value: Column) -> Column:
     """The lines of a text; the end of the last line starts no further one."""
-    parts = F.split(value, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(value, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def safe_id(value) -> Column:
@@ -133,9 +138,10 @@ def linked_issue(title, body) -> Column:
 
 def keyword_hits(value: Column, keywords=POSITIVE_KEYWORDS) -> Column:
     """The keywords that the text holds as whole words, in the order of the list."""
-    low = F.lower(value)
     pattern = {k: STARTS + _literal(k.lower()).replace(" ", WS + "+") + ENDS for k in dict.fromkeys(keywords)}
-    return F.array_compact(F.array(*[F.when(F.regexp_like(low, F.lit(p)), F.lit(k)) for k, p in pattern.items()]))
+    # a plain search for the first word goes before the pattern
+    held = lambda low, k, p: F.contains(low, F.lit(k.lower().split()[0])) & F.regexp_like(low, F.lit(p))
+    return let(F.lower(value), lambda low: F.array_compact(F.array(*[F.when(held(low, k, p), F.lit(k)) for k, p in pattern.items()])))
 
 
 def meaningful_tokens(value: Column) -> Column:
@@ -154,20 +160,13 @@ def without_template_sections(value: Column) -> Column:
 
 
 def without_checkboxes(value: Column) -> Column:
-    lines = split_lines(value)
-
-    def noisy(line: Column) -> Column:
-        low = F.lower(line)
-        held = [F.contains(low, F.lit(f)) for f in CHECKBOX_FRAGMENTS]
-        any_held = held[0]
-        for h in held[1:]:
-            any_held = any_held | h
-        return F.regexp_like(line, F.lit(rf"^{WS}*[-*]{WS}*\[[ xX]\]")) & any_held
-
-    out = F.array_join(F.filter(lines, lambda x: ~noisy(x)), "\n")
+    fragments = "|".join(map(_literal, CHECKBOX_FRAGMENTS))
+    noisy = lambda line: F.regexp_like(line, F.lit(rf"^{WS}*[-*]{WS}*\[[ xX]\]")) & F.regexp_like(line, F.lit(f"(?i){fragments}"))
+    out = F.array_join(F.filter(split_lines(value), lambda x: ~noisy(x)), "\n")
     for f in CHECKBOX_FRAGMENTS:
         out = F.regexp_replace(out, rf"(?iU)[-*]?\s*\[[ xX]\]?\s*[^.]*{_literal(f)}[^.]*\.?", " ")
-    return out
+    # without a box there is nothing to take out
+    return F.when(F.regexp_like(value, F.lit(r"\[[ xX]")), out).otherwise(F.array_join(split_lines(value), "\n"))
 
 
 def without_template_sentences(value: Column) -> Column:
@@ -184,26 +183,26 @@ def markdown_sections(value: Column) -> Column:
     """array<struct<heading, body>> of a text with known headings of two to six marks, with what stands before
     the first under an empty heading; empty where there is no such heading."""
     heading = rf"(?iU)(?:^|\s)#{{2,6}}\s+(?:{'|'.join(SECTION_HEADINGS)})\b"
-    parts = F.split(value, f"(?={heading})", -1)
     own = rf"(?isU)^\s?#{{2,6}}\s+({'|'.join(SECTION_HEADINGS)})\b(.*)"
-    cut = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.regexp_like(p, F.lit(own)).alias("known"),
-            strip(F.regexp_extract(p, own, 1)).alias("heading"),
-            strip(F.when(F.regexp_like(p, F.lit(own)), F.regexp_extract(p, own, 2)).otherwise(p)).alias("body"),
-        ),
-    )
-    kept = F.filter(cut, lambda s: s["known"] | (s["body"] != ""))
-    named = F.transform(kept, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
-    return F.when(F.exists(cut, lambda s: s["known"]), named).otherwise(F.slice(named, 1, 0))
+
+    def cut(part: Column) -> Column:
+        known = F.regexp_like(part, F.lit(own))
+        body = F.when(known, F.regexp_extract(part, own, 2)).otherwise(part)
+        return F.struct(known.alias("known"), strip(F.regexp_extract(part, own, 1)).alias("heading"), strip(body).alias("body"))
+
+    def named(parts: Column) -> Column:
+        kept = F.filter(parts, lambda s: F.exists(parts, lambda t: t["known"]) & (s["known"] | (s["body"] != "")))
+        return F.transform(kept, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
+
+    return let(F.transform(F.split(value, f"(?={heading})", -1), cut), named)
 
 
 def semantic_sections(value: Column) -> Column:
     """Only sections of meaning; the text as it is where it has no known heading or none is kept."""
+    shown = lambda s: F.when(s["heading"] == "", s["body"]).otherwise(strip(F.concat(s["heading"], F.lit(" "), s["body"])))
     kept = F.filter(markdown_sections(value), lambda s: normalize_heading(s["heading"]).isin(*KEPT_SECTIONS))
-    joined = F.array_join(F.transform(kept, lambda s: F.when(s["heading"] == "", s["body"]).otherwise(strip(F.concat(s["heading"], F.lit(" "), s["body"])))), "\n")
-    return F.when(F.size(kept) > 0, joined).otherwise(value)
+    joined = let(F.transform(kept, shown), lambda k: F.when(F.size(k) > 0, F.array_join(k, "\n")))
+    return F.when(F.regexp_like(value, F.lit("##")), F.coalesce(joined, value)).otherwise(value)
 
 
 def clean_text(value: Column, policy: str = "light") -> Column:

@@ -68,7 +68,7 @@ def repair_samples(cards: DataFrame, tasks=TASKS, variant: str = "full", policy:
         raise ValueError(f"unknown variant: {variant}")
     if wrong := [t for t in tasks if t not in TASKS]:
         raise ValueError(f"unknown tasks: {', '.join(wrong)}")
-    c = completed(cards, OPTIONAL).where(F.coalesce(F.col("quality.overall"), F.lit(0.0)) >= min_quality)
+    c = completed(cards, OPTIONAL).withColumn("_overall", F.coalesce(F.col("quality.overall"), F.lit(0.0))).where(F.col("_overall") >= min_quality)
     evidence = F.coalesce(F.col("evidence"), F.array().cast(EVIDENCE))
     if variant in ALLOWED:
         evidence = F.filter(evidence, lambda e: e["type"].isin(*ALLOWED[variant]))
@@ -116,7 +116,8 @@ def repair_samples(cards: DataFrame, tasks=TASKS, variant: str = "full", policy:
             ids = F.filter(ids, lambda i: F.array_contains(F.col("_valid"), i))
         return F.struct(F.lit(task).alias("task"), F.lit(asked).alias("asked"), kind.alias("kind"), out.alias("out"), ids.alias("ids"))
 
-    c = c.withColumn("_s", F.explode(F.array(*[sample(t) for t in tasks]))).where("_s.out <> ''")
+    every = c.select("id", "repo", "_text", "_valid", "_overall", F.array(*[sample(t) for t in tasks]).alias("_all"))
+    c = every.select("id", "repo", "_text", "_valid", "_overall", F.explode("_all").alias("_s")).where("_s.out <> ''")
     c = c.withColumn("_grounded", (F.size("_s.ids") > 0) & (F.size(F.array_except("_s.ids", "_valid")) == 0))
     if require_grounding:
         c = c.where("_grounded")
@@ -127,7 +128,7 @@ def repair_samples(cards: DataFrame, tasks=TASKS, variant: str = "full", policy:
         F.col("_s.out").alias("output"),
         F.col("_s.kind").alias("output_kind"),
         F.struct(
-            F.col("_s.task").alias("task_type"), source.alias("source_id"), repo.alias("repo"), F.coalesce(F.col("quality.overall"), F.lit(0.0)).alias("quality"),
+            F.col("_s.task").alias("task_type"), source.alias("source_id"), repo.alias("repo"), F.col("_overall").alias("quality"),
             F.col("_s.ids").alias("evidence_ids"), F.col("_grounded").alias("grounding_ok"), F.lit(variant).alias("variant"),
         ).alias("metadata"),
     )

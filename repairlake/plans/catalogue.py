@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diffs, paths, text
 from ..operators import cards, evaluation, exports, manifests, policy, scoring, selection, tasks, traces
+from ..sources.landing import landed
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,8 +91,6 @@ WITH r AS (SELECT doc_id, source, lang, n_chars, quality IS NULL AS skipped, qua
   FROM documents LEFT JOIN labels USING (doc_id))
 """
 
-TEXT_DIFF = "diff --git a/src/m{0}.py b/src/m{0}.py"
-
 
 def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as diffs: odd lines added, even ones removed, under one header."""
@@ -584,9 +583,14 @@ def record_cards(spark, sf_dir):
     return c.select("id", F.to_json("repair_card").alias("card"), F.to_json("evidence").alias("evidence"), "quality.overall", "quality.bug_fix_score")
 
 
+def all_cards(spark, sf_dir):
+    both = turn_records(spark, sf_dir).unionByName(fx.records(spark), allowMissingColumns=True)
+    return landed(cards.repair_cards(both), "cards")
+
+
 def _samples(variant: str):
     def run(spark, sf_dir):
-        c = cards.repair_cards(turn_records(spark, sf_dir).unionByName(fx.records(spark), allowMissingColumns=True))
+        c = all_cards(spark, sf_dir)
         s = exports.repair_samples(c, variant=variant)
         return s.select(F.col("metadata.source_id").alias("id"), F.col("metadata.task_type").alias("task"), "output_kind", "output", F.array_join("metadata.evidence_ids", ",").alias("ids"), F.col("metadata.grounding_ok").alias("grounded"))
 
@@ -599,7 +603,7 @@ for _v in exports.VARIANTS:
 
 @query()
 def repair_corpus(spark, sf_dir):
-    c = cards.repair_cards(turn_records(spark, sf_dir).unionByName(fx.records(spark), allowMissingColumns=True))
+    c = all_cards(spark, sf_dir)
     return exports.corpus_records(c, policy="semantic").select("id", "repo", "text", "metadata.*")
 
 
