@@ -69,6 +69,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
                 got = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
                 made = rows(got, state) if start else rows(got)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

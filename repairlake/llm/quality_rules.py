@@ -153,19 +153,26 @@ def line_first_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT
 def clean_documents(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """docs without rejected documents; kept ones lose their failing lines. All columns of docs stay as they
     are, n_chars (where it is a column) is that of the new text. Line ends inside a text stay \\n."""
-    from pyspark.sql import types as T
-
-    ends = T.StructType([T.StructField("kept", T.BooleanType()), T.StructField("text", T.StringType())])
-
-    @F.pandas_udf(ends)
-    def cleaned(texts):
-        import pandas as pd
-
-        out = []
-        for text in texts:
-            got = judge(text, max_lost_percent)
-            out.append((got[6], "\n".join(x for x, ok in zip(text.split("\n"), got[-1], strict=True) if ok) if got[6] else None))
-        return pd.DataFrame(out, columns=["kept", "text"])
-
-    shape = docs.withColumn("_lined", cleaned("text")).where("_lined.kept").withColumn("text", F.col("_lined.text")).drop("_lined")
-    return shape.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else shape
+    import pyarrow as pa
+
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts, kept = [], []
+                for text in part.column(names.index("text")).to_pylist():
+                    got = judge(text, max_lost_percent)
+                    kept.append(got[6])
+                    if got[6]:
+                        texts.append("\n".join(x for x, ok in zip(text.split("\n"), got[-1], strict=True) if ok))
+                left = part.filter(pa.array(kept, pa.bool_()))
+                columns = list(left.columns)
+                columns[names.index("text")] = pa.array(texts, left.schema.field("text").type)
+                if "n_chars" in names:
+                    columns[names.index("n_chars")] = pa.array([len(t) for t in texts], left.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(columns, schema=left.schema)
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -301,9 +301,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append("".join(p for p, k in zip(parts, keep.tolist(), strict=True) if k).strip(" \t\n\x0b\x0c\r"))
         return pd.Series(out, dtype=object)
 
-    named = spans.select(F.col("doc_id").alias("_span_id"), F.col("th").alias("_span_th"), F.col("spans").alias("_spans"))
-    own = docs.join(named, (F.col("doc_id").cast("long") == F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_th")), "left")
-    left = own.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).where("_spans is null or text <> ''")
+    own = docs.withColumns({"_span_own": F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])})
+    own = own.select("_span_own", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    may, rest = _split_by(own, spans)
+    found = may.join(spans.select("doc_id", "th", F.col("spans").alias("_spans")), ["doc_id", "th"], "left")
+    made = found.withColumn("_cut", cut("text", "_spans")).where("_spans is null or _cut <> ''")
+    back = [F.col("text") if c == "text" else F.col(f"_span_own.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    changed = {"text": F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_cut"))}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+        at = F.col("_span_own")[f"c{docs.columns.index('n_chars')}"]
+        changed["n_chars"] = F.when(F.col("_spans").isNull(), at).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
+    return rest.select(*back).unionByName(made.select(*[changed[c].alias(c) if c in changed else b for c, b in zip(docs.columns, back, strict=True)]))
