@@ -40,7 +40,7 @@ from .wordhash import groups_of, mix, ngrams
 END_ID = 1
 ROLL, CUT_MASK, LEAST, MOST = 4, 0xFF, 64, 1024
 PART_DOCS = 20_000
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_600_000
 
 _caches: dict[str, tuple] = {}
 _ends: dict[int, np.ndarray] = {}
@@ -276,24 +276,26 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
     arrow_map(ordered, place, shape, lambda: [0, 0]).write.parquet(f"{where}/recipes")
     unstage(made)
     recipes = docs.sparkSession.read.parquet(f"{where}/recipes")
-    totals = _roots(recipes)
+    totals = _roots(recipes, check=False)
     ahead = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     totals.withColumn("first_token", ahead).write.parquet(f"{where}/manifests")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """(part, n_docs, n_tokens, root, width) from the recipes themselves, a few tens of thousands a task."""
+def _roots(recipes: DataFrame, check: bool = True) -> DataFrame:
+    """(part, n_docs, n_tokens, root, width) from the recipes, a few tens of thousands a task. check: the leaves are
+    made again from what they stand for and compared."""
+    own = recipes.select("part", "place", "n_tokens", "leaf", "width", *(["doc_id", "digests"] if check else []))
 
     def solve(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("place")
-        made = [leaf(None if d is None or d != d else int(d), n, list(x)) for d, n, x in zip(pdf["doc_id"].astype("Int64").astype(object).where(pdf["doc_id"].notna(), None), pdf["n_tokens"].tolist(), pdf["digests"], strict=True)]
+        made = pdf["leaf"].map(bytes).tolist() if not check else [leaf(None if d is None or d != d else int(d), n, list(x)) for d, n, x in zip(pdf["doc_id"].astype("Int64").astype(object).where(pdf["doc_id"].notna(), None), pdf["n_tokens"].tolist(), pdf["digests"], strict=True)]
         if made != pdf["leaf"].map(bytes).tolist() or pdf["place"].tolist() != list(range(len(pdf))):
             raise ValueError(f"part {key[0]}: recipes do not match their leaves")
         return pd.DataFrame({"part": [key[0]], "n_docs": [len(pdf)], "n_tokens": [int(pdf["n_tokens"].sum())], "root": [merkle(made)], "width": [int(pdf["width"].iloc[0])]})
 
-    return recipes.groupBy("part").applyInPandas(solve, "part int, n_docs long, n_tokens long, root binary, width int")
+    return own.groupBy("part").applyInPandas(solve, "part int, n_docs long, n_tokens long, root binary, width int")
 
 
 def store_root(spark: SparkSession, where: str) -> str:
@@ -311,29 +313,32 @@ def read_store(spark: SparkSession, where: str) -> DataFrame:
 
     def check(b: dict) -> dict:
         got: dict[str, list] = {"digest": b["digest"], "n": [], "crc": []}
+        wide = memoryview(np.frombuffer(b"".join(b["ids"]), f"<u{width}").astype("<u4").tobytes())
+        at = 0
         for digest, blob in zip(b["digest"], b["ids"], strict=True):
             if hashlib.sha256(blob).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} does not hold what its digest says")
-            ids = np.frombuffer(blob, f"<u{width}")
-            got["n"].append(len(ids))
-            got["crc"].append(zlib.crc32(ids.astype("<u4").tobytes()))
+            n = len(blob) // width
+            got["n"].append(n)
+            got["crc"].append(zlib.crc32(wide[at : at + 4 * n]))
+            at += 4 * n
         return got
 
     def join(b: dict) -> dict:
         got: dict[str, list] = {c: [] for c in ("part", "place", "n", "ids_crc32")}
-        for part, place, of in zip(b["part"], b["place"], b["of"], strict=True):
-            crc = n = 0
-            for p in sorted(of, key=lambda p: p["pos"]):
-                crc = crc_joined(crc, p["crc"], 4 * p["n"])
-                n += p["n"]
-            for c, v in zip(got, (part, place, n, crc), strict=True):
+        for part, place, sizes, crcs in zip(b["part"], b["place"], b["sizes"], b["crcs"], strict=True):
+            crc = 0
+            for n, c in zip(sizes, crcs, strict=True):
+                crc = crc_joined(crc, c, 4 * n)
+            for c, v in zip(got, (part, place, sum(sizes), crc), strict=True):
                 got[c].append(v)
         return got
 
     known = arrow_map(chunks, check, "digest binary, n int, crc long")
     each = recipes.select("part", "place", F.posexplode("digests").alias("pos", "digest")).join(known, "digest", "left")
     each = each.withColumn("crc", F.coalesce("crc", F.raise_error(F.lit("a chunk of a recipe is missing"))))
-    of = each.groupBy("part", "place").agg(F.collect_list(F.struct("pos", "n", "crc")).alias("of"))
+    of = each.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("of"))
+    of = of.select("part", "place", F.col("of.n").alias("sizes"), F.col("of.crc").alias("crcs"))
     crcs = arrow_map(of, join, "part int, place long, n long, ids_crc32 long")
     told = manifests.select("part", "first_token", F.col("root").alias("told"), F.col("n_docs").alias("docs_told"))
     right = _roots(recipes).join(told, "part").select("part", F.when((F.col("root") == F.col("told")) & (F.col("n_docs") == F.col("docs_told")), F.col("first_token")).otherwise(F.raise_error(F.lit("a part does not match its manifest")).cast("long")).alias("first_token"))
