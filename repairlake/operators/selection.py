@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.landing import landed
 from .cards import repair_cards
 from .scoring import first_by_id, high_quality
 
@@ -36,7 +37,8 @@ def not_completed(tasks: DataFrame, done: DataFrame, key: str = "task_id") -> Da
 def numbered(rows: DataFrame, *order: str, into: str = "row") -> DataFrame:
     """rows numbered from 0 in an order, without one task holding them all: ranges are numbered inside and
     begin where the counts of those before end. The order should tell all rows apart."""
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    # landed, because ranges drawn anew for the counts could differ from those of the rows
+    ranged = landed(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

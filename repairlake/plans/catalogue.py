@@ -601,6 +601,41 @@ for _v in exports.VARIANTS:
     QUERIES[f"repair_sft_{_v.replace('-', '_')}"] = _samples(_v)
 
 
+SYMPTOM_SQL = TURNS_SQL + f""", x AS (SELECT u.id, t.turn, t.conv_id, left(trim(regexp_replace(u.text, {SQL_WS}, ' ', 'g')), 300) AS issue FROM u JOIN t ON u.id = t.conv_id || '_' || t.turn),
+s AS (SELECT *, 'fix: ' || issue AS symptom FROM x WHERE issue <> '')
+"""
+
+
+def turn_cards(spark, sf_dir):
+    return landed(cards.repair_cards(turn_records(spark, sf_dir).where(text.compact("issue_body") != "")), "cards")
+
+
+@query(
+    SYMPTOM_SQL
+    + """
+SELECT id, 'localize_files' AS task, '{"source_files":["src/m.py"],"test_files":["tests/test_m.py"]}' AS output, 'E3,E4' AS ids, true AS grounded FROM s
+UNION ALL SELECT id, 'explain_bug', symptom, 'E1,E2', true FROM s
+UNION ALL SELECT id, 'repair_rationale', 'src/m.py: added lines=1, removed lines=1', 'E3', true FROM s
+UNION ALL SELECT id, 'test_spec', 'tests/test_m.py: added lines=1, removed lines=0', 'E4', true FROM s
+UNION ALL SELECT id, 'repair_instruction', 'Update src/m.py so the behavior described by the issue is fixed and the relevant tests pass.', 'E3,E4', true FROM s
+"""
+)
+def repair_sft_turns(spark, sf_dir):
+    s = exports.repair_samples(turn_cards(spark, sf_dir))
+    return s.select(F.col("metadata.source_id").alias("id"), F.col("metadata.task_type").alias("task"), "output", F.array_join("metadata.evidence_ids", ",").alias("ids"), F.col("metadata.grounding_ok").alias("grounded"))
+
+
+@query(
+    SYMPTOM_SQL
+    + """
+SELECT id, 'acme/tool' AS repo, 'Repository: acme/tool' || chr(10) || chr(10) || 'PR: ' || turn || chr(10) || chr(10) || 'Issue: ' || (conv_id + 1) || chr(10) || chr(10) || 'Problem Summary: ' || trim(symptom) AS head, true AS has_test_evidence FROM s
+"""
+)
+def repair_corpus_turns(spark, sf_dir):
+    c = exports.corpus_records(turn_cards(spark, sf_dir))
+    return c.select("id", "repo", F.regexp_extract("text", r"(?s)^(.*?)\n\nEvidence:\n", 1).alias("head"), "metadata.has_test_evidence")
+
+
 @query()
 def repair_corpus(spark, sf_dir):
     c = all_cards(spark, sf_dir)
