@@ -195,11 +195,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> Data
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = MAX_TRAIN):
     def rows(b: dict) -> dict:
-        return {"doc_id": b["doc_id"], "y": b["y"], "places": list(indicators(b["text"]))}
+        return {"doc_id": b["doc_id"], "y": b["y"], "places": [p.tobytes() for p in indicators(b["text"])]}
 
-    got = arrow_map(labelled(docs, labels, column, most), rows, "doc_id long, y int, places array<int>").collect()
+    got = arrow_map(labelled(docs, labels, column, most), rows, "doc_id long, y int, places binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.y, len(r.places)))
-    return fit([np.array(r.places, np.int64) for r in got], np.array([r.y for r in got]))
+    return fit([np.frombuffer(r.places, np.int32) for r in got], np.array([r.y for r in got]))
 
 
 def score_documents(docs: DataFrame, model, threshold: float = 0.7) -> DataFrame:

@@ -241,14 +241,14 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic"):
     def rows(b: dict) -> dict:
-        return {"doc_id": b["doc_id"], "y": b["y"], "places": [p.ravel() for p in word_inputs(b["text"])]}
+        return {"doc_id": b["doc_id"], "y": b["y"], "places": [p.tobytes() for p in word_inputs(b["text"])]}
 
     got = []
     for of, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)):
         some = labelled(docs, labels.where(F.col(column) == of), column, most)
-        got += arrow_map(some, rows, "doc_id long, y int, places array<int>").collect()
+        got += arrow_map(some, rows, "doc_id long, y int, places binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.y, len(r.places)))
-    return fit([np.array(r.places, np.int32).reshape(-1, 4) for r in got], np.array([r.y for r in got]))
+    return fit([np.frombuffer(r.places, np.int32).reshape(-1, 4) for r in got], np.array([r.y for r in got]))
 
 
 def score_documents(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
