@@ -1,0 +1,183 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, exactly: no pair at or above the bound is missed.
+
+Shingles have one global order, the same for all documents. Two sets with a Jaccard similarity of at least s
+share a shingle among the first L - ceil(s L) + 1 of each (L: its size), so that only those are joined. Any
+order is right; this one puts shingles of rarely used cells of hashes first (cells are counted over a sample),
+so that passages which many documents hold are seldom among them. Candidates are compared on all shingles.
+
+Equal sets are one node, so that copies cost nothing more. The least node under a shingle is its leader; all
+others are compared with it first, in dense groups with some further leaders too. After that only pairs of
+different components are compared, so that a dense group mostly gives stars and not all its pairs. No link between different components is lost.
+
+Shingles are compared by 64-bit hashes. A null or empty text has no shingles, and such texts are one node; fewer
+words than a shingle give one shingle of all words. Words are in ASCII lower case, as in simhash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import arrow_map, staged
+from .components import components
+from .simhash import _LOWER, SEED
+
+SHINGLE, PERCENT = 5, 80
+CELLS = 1 << 16
+SAMPLE = 8
+#: Further leaders tried at most, while shingles hold more than DENSE rows on the average of those rows.
+STARS, DENSE = 4, 32
+MIX = np.uint64(0x9E3779B97F4A7C15)
+CACHED = 1_000_000
+
+
+class Hashes(dict):
+    """64-bit hashes of words; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingles(text: str | None, shingle: int = SHINGLE, hashes: Hashes | None = None) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending."""
+    hashes = Hashes() if hashes is None else hashes
+    words = (text or "").encode().translate(_LOWER).split()
+    k = min(shingle, len(words))
+    if not k:
+        return np.zeros(0, np.int64)
+    h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+    n = len(h) - k + 1
+    key = np.full(n, k, np.uint64)
+    for i in range(k):
+        key = (key ^ h[i : i + n]) * MIX
+        key ^= key >> np.uint64(29)
+    return np.unique(key.view(np.int64))
+
+
+def node_of(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(own.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def cell(own: np.ndarray) -> np.ndarray:
+    return (own.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
+def cell_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles by cell over a sample of the texts. The order made from it decides the cost alone."""
+
+    def rows(b: dict, hashes: Hashes) -> dict:
+        n = np.zeros(CELLS, np.int64)
+        for t in b["text"]:
+            n += np.bincount(cell(shingles(t, shingle, hashes)), minlength=CELLS)
+        at = np.flatnonzero(n)
+        return {"cell": at, "n": n[at]}
+
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    out = np.zeros(CELLS, np.int64)
+    for r in arrow_map(some, rows, "cell int, n long", Hashes).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out
+
+
+def first_shingles(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(s, node, size, at): the shingles of each set by which it meets others, at: the place in the order."""
+    counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, shingle))
+
+    def rows(b: dict, hashes: Hashes) -> dict:
+        out: tuple[list, ...] = ([], [], [], [])
+        for t in b["text"]:
+            own = shingles(t, shingle, hashes)
+            if not len(own):
+                continue
+            size = len(own)
+            first = np.lexsort((own, counts.value[cell(own)]))[: size - -(-size * percent // 100) + 1]
+            for c, v in zip(out, (own[first], np.full(len(first), node_of(own)), np.full(len(first), size), np.arange(len(first))), strict=True):
+                c.append(v)
+        return {c: np.concatenate(v) if v else [] for c, v in zip(("s", "node", "size", "at"), out, strict=True)}
+
+    made = arrow_map(docs.select("text"), rows, "s long, node long, size int, at int", Hashes)
+    return made.dropDuplicates(["s", "node"])
+
+
+def nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, node) for each row of docs; th is a hash of the text."""
+    rows = lambda b, hashes: {"doc_id": b["doc_id"], "th": b["th"], "node": [node_of(shingles(t, shingle, hashes)) for t in b["text"]]}
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), rows, "doc_id long, th long, node long", Hashes)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (a, b: nodes) that reach the similarity. first: (node, first: doc_id and th of a row of it)."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    where = first.join(asked, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    texts = keyed.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
+    rows = lambda b, hashes: {"node": b["node"], "own": [shingles(t, shingle, hashes) for t in b["text"]]}
+    own = staged(arrow_map(texts, rows, "node long, own array<bigint>", Hashes, at_once=200), "shingles")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    met = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
+    return met.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b")
+
+
+def links(docs: DataFrame, first: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): pairs of nodes of at least that similarity, whose components are those of all such pairs."""
+    under = Window.partitionBy("s")
+    least = F.min(F.struct("node", "size", "at")).over(under)
+    pre = first_shingles(docs, percent, shingle).withColumns({"n": F.count("*").over(under), "lead": least})
+    met = staged(pre.where("n > 1"), "met")
+
+    def able(size_a, at_a, size_b, at_b):
+        """Whether sets that meet first at these places can reach the similarity."""
+        fits = F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * percent
+        rest = F.least(size_a - at_a, size_b - at_b)
+        return fits & (rest * (100 + percent) >= (size_a + size_b) * percent)
+
+    def met_by(rows: DataFrame) -> DataFrame:
+        """Pairs of rows (node, size, at) with what lead holds of another, able to reach the similarity."""
+        fit = able(F.col("size"), F.col("at"), F.col("lead.size"), F.col("lead.at"))
+        pair = rows.where((F.col("node") != F.col("lead.node")) & fit).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        return pair.distinct()
+
+    asked = staged(met_by(met), "star")
+    found = staged(verified(asked, docs, first, percent, shingle), "links")
+    more = met.where((F.col("n") > 2) & (F.col("node") != F.col("lead.node"))).select("s", "node", "size", "at")
+    for turn in range(STARS + 1):
+        rooted = more.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = staged(rooted.withColumns({"lo": F.min("root").over(under), "hi": F.max("root").over(under)}).where("lo < hi").drop("lo", "hi"), "mixed")
+        held = mixed.groupBy("s").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
+        if turn == STARS or (held.pairs or 0) <= DENSE * (held.rows or 0):
+            break
+        other = F.min_by(F.struct("node", "size", "at", "root"), F.xxhash64(F.lit(turn), "node")).over(under)
+        star = met_by(mixed.withColumn("lead", other).where("root <> lead.root")).join(asked, ["a", "b"], "left_anti")
+        star = staged(star, "star")
+        asked = asked.unionByName(star)
+        found = staged(found.unionByName(verified(star, docs, first, percent, shingle)), "links")
+    x = mixed.select("s", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "at", "root")])
+    y = mixed.select("s", *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "at", "root")])
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+    fit = able(F.col("a_size"), F.col("a_at"), F.col("b_size"), F.col("b_at"))
+    left = x.join(y, "s").where(apart & fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    rest = staged(left.join(asked, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(verified(rest, docs, first, percent, shingle))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """docs without all but one row of each component of the pairs of at least that similarity: that of the smallest
+    doc_id (nulls last), of rows that share it the one whose text has the smallest hash. Identical rows are one."""
+    own = staged(nodes(docs, shingle), "nodes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    first = staged(own.groupBy("node").agg(least), "distinct")
+    rooted = first.join(components(links(docs, first, percent, shingle)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    left = staged(kept.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.th").alias("_keep_th")), "kept")
+    keyed = docs.withColumn("_own_id", F.col("doc_id").cast("long")).withColumn("_own_th", F.xxhash64("text"))
+    lone = keyed.join(left, F.col("_own_id").eqNullSafe(F.col("_keep_id")) & (F.col("_own_th") == F.col("_keep_th")), "left_semi")
+    return lone.dropDuplicates(["_own_id", "_own_th"]).select(*docs.columns)

@@ -1,0 +1,79 @@
+import random
+
+import corpus_pipeline
+
+from repairlake.llm import similar
+from repairlake.llm.common import table
+
+from .conftest import odd_rows
+from .test_rules_and_dedup import WORD
+
+
+def plain_shingles(text, k=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def brute_kept(rows):
+    """The least doc_id (nulls last) of each component of pairs of Jaccard similarity 0.8 or more."""
+    sets = sorted({plain_shingles(t) for _, t in rows}, key=sorted)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = len(a & sets[j])
+            if 5 * same >= 4 * (len(a) + len(sets[j]) - same) and (a or not sets[j]) and (sets[j] or not a):
+                root[find(i)] = find(j)
+    at, least = {s: find(i) for i, s in enumerate(sets)}, {}
+    for doc_id, t in rows:
+        key = (doc_id is None, doc_id or 0)
+        least[at[plain_shingles(t)]] = min(key, least.get(at[plain_shingles(t)], key))
+    return sorted(None if none else i for none, i in least.values())
+
+
+def kept(df):
+    return sorted((r.doc_id for r in df.collect()), key=lambda i: (i is None, i or 0))
+
+
+def in_order(ids):
+    return sorted(ids, key=lambda i: (i is None, i or 0))
+
+
+def test_stage_keeps_one_of_similar_documents(spark):
+    """Pairs of 0.8 and more go whatever their fingerprints, and pairs below stay."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    clean = spark.createDataFrame(corpus_pipeline.STAGES[0][1](spark, docs, "").collect(), docs.schema)
+    rows = [(r.doc_id, r.text) for r in clean.collect()]
+    got = kept(corpus_pipeline.STAGES[1][1](spark, clean, ""))
+    assert got == brute_kept(rows) and 145 not in got and 177 not in got
+
+
+def test_dense_group_and_bound(spark, monkeypatch):
+    """A group whose members are partly below the bound to each other, chains, and pairs on both sides of it."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    long = [f"l{i}" for i in range(104)]
+    texts += [" ".join(long), " ".join(long[:84]), " ".join(long[:83]), "A B c", "a b C", ""]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute_kept(rows)
+    assert kept(similar.keep_one(df)) == want
+    monkeypatch.setattr(similar, "DENSE", 1)
+    assert kept(similar.keep_one(df)) == want
+
+
+def test_defined_cases(odd, none):
+    got = similar.keep_one(odd)
+    assert got.columns == odd.columns and kept(got) == in_order(brute_kept([(i, t) for i, t, *_ in odd_rows()]))
+    assert similar.keep_one(none).count() == 0
