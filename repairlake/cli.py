@@ -71,7 +71,8 @@ def make(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         case "fetch-github-prs":
             spark.dataSource.register(github.PullRequests)
             found = spark.read.format("pull_requests").option("repo", a.input).option("limit", a.limit or 100).load()
-            return scoring.bug_fixes_only(scoring.with_quality(found))
+            scored = scoring.with_quality(github.with_issues(found, github.PullRequests.get))
+            return scoring.bug_fixes_only(scored) if a.bug_fix_only else scored
     raise ValueError(a.command)
 
 
@@ -84,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--min-quality", type=float, default=0.0)
     p.add_argument("--variant", choices=exports.VARIANTS, default="full")
     p.add_argument("--policy", default="light")
-    for flag in ("strict", "clean-steps", "reject-test-edits", "require-grounding", "manifest"):
+    for flag in ("strict", "clean-steps", "reject-test-edits", "require-grounding", "manifest", "bug-fix-only"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--base-url")
     p.add_argument("--model", default="")

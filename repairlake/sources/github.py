@@ -5,6 +5,7 @@
 
 Pages hold up to 100; a page that is short is the last. Each request is tried three times: rate limits and
 server errors wait and try again, others give nothing. fetch, an option of the class, can be replaced in tests.
+with_issues adds the issues that the pull requests close.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ import time
 import urllib.error
 import urllib.request
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import linked_issue
+
 API = "https://api.github.com"
 RETRIED = (403, 429, 502, 503, 504)
 PAGE = 100
@@ -86,3 +90,26 @@ class _Reader(DataSourceReader):
             if number and diff:
                 name = f"{self.repo.replace('/', '_')}_pr_{number}"
                 yield (name, self.repo, number, pr.get("title") or "", pr.get("body") or "", pr.get("html_url") or "", diff, [])
+
+
+def with_issues(pulls: DataFrame, get=fetch) -> DataFrame:
+    """pulls with issue_number (null: no link), issue_title and issue_body of the issue in the same repository that
+    each closes; both texts are empty where there is none or it can't be had. One pass, as pulls are fetched."""
+    import pyarrow as pa
+
+    linked = pulls.withColumn("issue_number", linked_issue("pr_title", "pr_body").cast("bigint"))
+
+    def run(batches):
+        known: dict[tuple, dict] = {}
+        for batch in batches:
+            issues = []
+            for key in zip(batch.column("repo").to_pylist(), batch.column("issue_number").to_pylist(), strict=True):
+                if key not in known:
+                    issue = as_object(get(f"{API}/repos/{key[0]}/issues/{key[1]}")) if key[1] else {}
+                    known[key] = issue if isinstance(issue, dict) else {}
+                issues.append(known[key])
+            columns = [pa.array([i.get(c) or "" for i in issues], pa.string()) for c in ("title", "body")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "issue_title", "issue_body"])
+
+    shape = ", ".join(f"`{c}` {t}" for c, t in linked.dtypes)
+    return linked.mapInArrow(run, f"{shape}, issue_title string, issue_body string")
