@@ -1,7 +1,8 @@
 """Commands over JSON-lines files: python -m repairlake COMMAND INPUT [OUTPUT] [--option value].
 
-run and run-manifest take a table of tasks (id, files, task, test_command) and the mock model unless --base-url is
-given; the other commands are named after what they make.
+run takes a table of tasks (id, files, task, test_command), run-manifest a manifest (repo: a folder, from the
+manifest's own if relative, task, test_command) of which it writes one {source, result} row each; both take the mock
+model unless --base-url is given. The other commands are named after what they make.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.records import CLAIM, EVIDENCE, LLM_CARD, LLM_QUALITY, RECORD
-from .operators import agent, cards, exports, manifests, scoring, tasks, traces
+from .operators import agent, cards, exports, manifests, runs, scoring, tasks, traces
 from .sources import datasets, github, jsonl
 
 CARD = (
@@ -39,7 +40,9 @@ def make(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     model = agent.chat_model(a.base_url, a.model, os.environ.get("OPENAI_API_KEY", "")) if a.base_url else agent.mock_model
     record = "struct<" + ", ".join(f"{c}: {t}" for c, t in RECORD.items()) + ">"
     match a.command:
-        case "run" | "run-manifest":
+        case "run-manifest":
+            return runs.run_manifest(spark, a.input, model, a.limit, a.dry_run)
+        case "run":
             rows = _records(spark, a.input, "struct<id: string, files: map<string, string>, task: string, test_command: string>")
             return agent.run_tasks(rows if a.limit is None else rows.limit(a.limit), model)
         case "export-sft":
@@ -85,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--min-quality", type=float, default=0.0)
     p.add_argument("--variant", choices=exports.VARIANTS, default="full")
     p.add_argument("--policy", default="light")
-    for flag in ("strict", "clean-steps", "reject-test-edits", "require-grounding", "manifest", "bug-fix-only"):
+    for flag in ("strict", "clean-steps", "reject-test-edits", "require-grounding", "manifest", "bug-fix-only", "dry-run"):
         p.add_argument(f"--{flag}", action="store_true")
     p.add_argument("--base-url")
     p.add_argument("--model", default="")

@@ -31,3 +31,32 @@ def test_fetch_reads_linked_issues(spark, monkeypatch):
     assert "linked issue" in got[1].bug_fix_reasons and any("regression" in x for x in got[1].bug_fix_reasons) and not got[2].is_bug_fix
     only = {r.pr_number for r in cli.make(spark, args("fetch-github-prs", "a/b", bug_fix_only=True)).collect()}
     assert 1 in only and 2 not in only
+
+
+def test_run_manifest(spark, tmp_path):
+    good = tmp_path / "repos/good"
+    (good / "tests").mkdir(parents=True)
+    (good / "calculator.py").write_text("def subtract(a, b):\n    return a + b  # BUG\n")
+    (good / "tests/test_c.py").write_text("import unittest\nfrom calculator import subtract\n\n\nclass T(unittest.TestCase):\n    def test_s(self):\n        self.assertEqual(subtract(3, 1), 2)\n")
+    (good / "data.bin").write_bytes(b"\xff\xfe\x00")
+    (tmp_path / "repos/bare").mkdir()
+    rows = [
+        {"task": "no repo"}, {"repo": "repos/gone", "task": "t"}, {"repo": "repos/good", "task": "Fix subtract", "source": "mbpp", "id": "first", "extra": [1, {"a": None}]}, {"repo": "repos/good", "task": ""},
+        {"repo": str(tmp_path / "repos/bare"), "task": "Other", "source": "unit_completion", "baseline_checked": True, "baseline_ok": False}, {"repo": "repos/good", "task": "beyond the limit"},
+    ]
+    manifest = tmp_path / "manifest.jsonl"
+    manifest.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    out = tmp_path / "out"
+    cli.jsonl.write_jsonl(cli.make(spark, args("run-manifest", str(manifest), limit=2)), str(out))
+    got = [json.loads(x) for p in sorted(out.glob("part-*")) for x in p.read_text().splitlines()]
+    assert [g["source"] for g in got] == rows[:5]
+    r = [g["result"] for g in got]
+    assert [(x["ok"], x["skipped"], x.get("reason"), x.get("outcome"), x.get("failure_attribution")) for x in r] == [
+        (False, True, "missing repo or task", None, None), (False, True, "repo does not exist", None, None), (True, False, None, "success", "passed"),
+        (False, True, "missing repo or task", None, None), (False, False, None, "finished_without_tests", "baseline_failure"),
+    ]
+    assert r[2]["steps"] == 6 and len(r[2]["events"]) == 9
+    stats = {x.source: x for x in cli.make(spark, args("stats", str(out), manifest=True)).collect()}
+    assert (stats["mbpp"].ran, stats["mbpp"].pass_rate, stats["unknown"].skipped) == (1, 1.0, 3)
+    dry = [json.loads(x.j)["result"] for x in cli.make(spark, args("run-manifest", str(manifest), limit=1, dry_run=True)).selectExpr("to_json(struct(*)) AS j").collect()]
+    assert [(x["ok"], x["skipped"]) for x in dry] == [(False, True), (False, True), (True, True), (False, True), (True, True), (True, True)]
