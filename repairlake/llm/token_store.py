@@ -6,25 +6,30 @@ Format (three Parquet tables in one folder; digests are SHA-256):
   of 4 where the vocabulary needs them (meta: width);
 * recipes (part, place, doc_id, n_tokens, start, digests, leaf): documents in ascending doc_id order. The
   stream of a part is its documents' by place; start counts the ids before a document in its part. leaf is
-  the digest of doc_id, n_tokens and the chunk digests;
+  the digest of all of these but the part;
 * manifests (part, first_token, n_docs, n_tokens, root, width): the Merkle root of the leaves of a part and
-  the number of ids before it. The store's root is that of the parts' roots.
+  the number of ids before it;
+* root (parts, n_docs, n_tokens, root): one row, the Merkle root of the parts' roots.
 
 A document's ids are cut where a rolling hash of the last 4 ids has its low 8 bits zero, at least 64 and at
 most 1024 ids from the last cut, so that equal passages give equal chunks wherever they stand. Reading
-checks every chunk against its digest and every part against its manifest.
+first checks that the parts are those of the root, each as its manifest says, then every chunk against its
+digest. What is missing or changed, in whichever table, raises.
 
-The tokenizer splits on white space and no normalisation reaches across it, so whole texts are encoded word by
-word through a bounded cache of words; the ids are those of encoding the text at once.
+Where the tokenizer is one that splits on white space (WORDWISE tells by its own normaliser and splitter),
+texts are encoded word by word through a bounded cache of words, and words of small letters by the tokenizer's
+merges alone; no normalisation reaches across what a text is cut at, so the ids are those of encoding it at
+once (compared on random texts in the tests). Any other tokenizer gets whole texts.
 
 Defined cases: a null text counts as empty (its only id is the end id). Null ids come last. Rows of equal
 doc_id follow each other, ordered by their chunk digests. An empty table gives an empty store. Columns other
-than doc_id and text are not read. Broken stores raise ValueError in the reading task.
+than doc_id and text are not read. Broken stores raise.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from array import array
@@ -40,31 +45,90 @@ from .wordhash import groups_of, mix, ngrams
 END_ID = 1
 ROLL, CUT_MASK, LEAST, MOST = 4, 0xFF, 64, 1024
 PART_DOCS = 20_000
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 1_200_000
 
-_caches: dict[str, tuple] = {}
-_ends: dict[int, np.ndarray] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str):
-    """The tokenizer and its word cache, one of each in a Python worker."""
-    import os
+#: The normaliser and splitter for which words can be encoded one by one.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: The letter by which byte-level merges write each byte (a blank stays): printable Latin-1 itself, the others those from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+BYTE_LETTERS[sorted({*range(256)} - {*_PRINTABLE})] = np.arange(256, 256 + 256 - len(_PRINTABLE))
+BYTE_LETTERS[32] = 32
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _caches:
+
+class Encoder:
+    """A tokenizer with what a Python worker keeps of it."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        width = 2 if tokenizer.get_vocab_size() <= 65536 else 4
-        _caches[path] = (tokenizer, {}, width)
-    return _caches[path]
+        self.whole = Tokenizer.from_file(path)
+        self.width = 2 if self.whole.get_vocab_size() <= 65536 else 4
+        self.kind = "H" if self.width == 2 else "I"
+        self.cache: dict[bytes, bytes] = {}
+        told = json.loads(self.whole.to_str())
+        suffix = told["model"].get("end_of_word_suffix")
+        self.wordwise = bool(suffix) and (told["normalizer"], told["pre_tokenizer"]) == WORDWISE and told["post_processor"] is None
+        if self.wordwise:
+            self.merges = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            vocabulary = self.whole.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words. Those of small Latin letters only are one piece each, which ends with the one id of
+        theirs that ends a word, so that they can be merged many at a time."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250") and t == t.lower()]
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            lines = [b" ".join([words[i] for i in some[j : j + 256]]) for j in range(0, len(some), 256)]
+            lines = [BYTE_LETTERS[np.frombuffer(x, np.uint8)].tobytes().decode("utf-16-le") for x in lines]
+            ids = array(self.kind, [x for e in self.merges.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids])
+            stops = ((np.flatnonzero(self.ends[np.frombuffer(ids, np.dtype(self.kind))]) + 1) * ids.itemsize).tolist()
+            if len(stops) != len(some):
+                raise ValueError("the tokenizer does not end each word with one id")
+            raw, begin = ids.tobytes(), 0
+            for i, stop in zip(some, stops, strict=True):
+                out[words[i]] = raw[begin:stop]
+                begin = stop
+        if len(plain) < len(words):
+            held = set(plain)
+            rest = [i for i in range(len(words)) if i not in held]
+            out.update(zip([words[i] for i in rest], self.texts([texts[i] for i in rest]), strict=True))
+        return out
+
 
+def _encoder(path: str) -> Encoder:
+    """One for each tokenizer in a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
-def _fold(text: str | None) -> bytes:
+
+def _fold(text: str) -> bytes:
     """Letters in lower case, as the tokenizer makes them, where nothing can depend on their case: neither a
     special token's string nor a mark (U+0300 to U+037F) that composes with a letter. Letters beyond ASCII
     only where the whole text is Latin-1."""
-    text = text or ""
     raw = text.encode()
     if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
         return raw
@@ -76,70 +140,38 @@ def _fold(text: str | None) -> bytes:
 
 
 def _stem(word: bytes) -> bytes | None:
-    """What precedes closing punctuation that the tokenizer splits off: that after a Latin letter."""
+    """What precedes closing punctuation that the tokenizer splits off: that after a Latin letter. (Not after
+    a dotted capital I, whose lower case ends in a mark.)"""
     stem = word.rstrip(b".,!?;:%&*#$")
     if not stem or len(stem) == len(word) or b"<|" in word:
         return None
     if stem[-1] < 128:
         return stem if 97 <= stem[-1] <= 122 else None
     last = stem.decode()[-1]
-    return stem if last.isalpha() and last < "\u0250" else None
-
-
-def _encode_words(tokenizer, words: list[bytes], kind: str) -> dict[bytes, bytes]:
-    """The ids of words. Those of small Latin letters only are one piece each, which ends with the one id of theirs
-    that ends a word, so that they can be encoded many at a time."""
-    suffix = tokenizer.model.end_of_word_suffix
-    texts = [w.decode() for w in words]
-    plain = [i for i, t in enumerate(texts) if suffix and t.isalpha() and (t.isascii() or max(t) < "\u0250" and t == t.lower())]
-    out: dict[bytes, bytes] = {}
-    if plain:
-        key = id(tokenizer)
-        if key not in _ends:
-            vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-            _ends[key] = np.zeros(max(vocabulary.values()) + 1, bool)
-            _ends[key][[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            lines = [" ".join([texts[i] for i in some[j : j + 64]]) for j in range(0, len(some), 64)]
-            ids = array(kind, [x for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids])
-            stops = ((np.flatnonzero(_ends[key][np.frombuffer(ids, np.dtype(kind))]) + 1) * ids.itemsize).tolist()
-            if len(stops) != len(some):
-                raise ValueError("the tokenizer does not end each word with one id")
-            raw, begin = ids.tobytes(), 0
-            for i, stop in zip(some, stops, strict=True):
-                out[words[i]] = raw[begin:stop]
-                begin = stop
-    rest = sorted(set(range(len(words))) - set(plain)) if len(plain) < len(words) else []
-    for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-        out[words[i]] = array(kind, e.ids).tobytes()
-    return out
+    return stem if last.isalpha() and last < "\u0250" and last != "\u0130" else None
 
 
 def encode_all(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """The ids of each text with the end id, as bytes of the store's width."""
-    tokenizer, cache, width = _encoder(path)
-    kind = "H" if width == 2 else "I"
-    end = array(kind, [end_id]).tobytes()
+    its = _encoder(path)
+    end = array(its.kind, [end_id]).tobytes()
+    texts = [t or "" for t in texts]
     out = []
-    for begin, stop in groups_of([t or "" for t in texts], 4 << 20):
+    for begin, stop in groups_of(texts, 4 << 20):
+        if not its.wordwise:
+            out += [ids + end for ids in its.texts(texts[begin:stop])]
+            continue
+        cache = its.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        get = cache.get
         split = [_fold(t).split() for t in texts[begin:stop]]
-        found = [list(map(get, words)) for words in split]
-        holes = [[i for i, v in enumerate(values) if v is None] for values in found]
-        missing = {words[i] for words, at in zip(split, holes, strict=True) for i in at}
+        missing = set().union(*split).difference(cache)
         closed = {w: s for w in missing if (s := _stem(w)) is not None}
         whole = list(((missing - closed.keys()) | set(closed.values()) | {w[len(s) :] for w, s in closed.items()}).difference(cache))
-        cache.update(_encode_words(tokenizer, whole, kind))
+        cache.update(its.words(whole))
         for w, s in closed.items():
             cache[w] = cache[s] + cache[w[len(s) :]]
-        for words, values, at in zip(split, found, holes, strict=True):
-            for i in at:
-                values[i] = cache[words[i]]
-            values.append(end)
-            out.append(b"".join(values))
+        out += [b"".join(map(cache.__getitem__, words)) + end for words in split]
     return out
 
 
@@ -166,8 +198,8 @@ def cuts(n: int, asked: list[int]) -> list[int]:
     return out
 
 
-def leaf(doc_id: int | None, n_tokens: int, digests: list[bytes]) -> bytes:
-    return hashlib.sha256(struct.pack("<?qq", doc_id is not None, doc_id or 0, n_tokens) + b"".join(digests)).digest()
+def leaf(doc_id: int | None, place: int, start: int, n_tokens: int, digests: list[bytes]) -> bytes:
+    return hashlib.sha256(struct.pack("<?qqqq", doc_id is not None, doc_id or 0, place, start, n_tokens) + b"".join(digests)).digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -230,7 +262,7 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
     """Encodes docs (doc_id, text) and writes the store to a folder that executors share."""
 
     def rows(b: dict) -> dict:
-        width = _encoder(tokenizer)[2]
+        width = _encoder(tokenizer).width
         got: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "digests", "blobs", "width")}
         seen: set[bytes] = set()
         raws = encode_all(b["text"], tokenizer, end_id)
@@ -263,7 +295,7 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
         got: dict[str, list] = {c: [] for c in ("part", "place", "doc_id", "n_tokens", "start", "digests", "leaf", "width")}
         part = TaskContext.get().partitionId()
         for doc_id, n, digests, width in zip(b["doc_id"], b["n_tokens"], b["digests"], b["width"], strict=True):
-            for c, v in zip(got, (part, count[0], doc_id, n, count[1], digests, leaf(doc_id, n, digests), width), strict=True):
+            for c, v in zip(got, (part, count[0], doc_id, n, count[1], digests, leaf(doc_id, count[0], count[1], n, digests), width), strict=True):
                 got[c].append(v)
             count[0] += 1
             count[1] += n
@@ -275,36 +307,70 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
     shape = "part int, place long, doc_id long, n_tokens long, start long, digests array<binary>, leaf binary, width int"
     arrow_map(ordered, place, shape, lambda: [0, 0]).write.parquet(f"{where}/recipes")
     unstage(made)
-    recipes = docs.sparkSession.read.parquet(f"{where}/recipes")
-    totals = _roots(recipes, check=False)
+    spark = docs.sparkSession
+    totals = _roots(spark.read.parquet(f"{where}/recipes"), check=False)
     ahead = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     totals.withColumn("first_token", ahead).write.parquet(f"{where}/manifests")
+    told = _manifests(spark, where)
+    summary = (len(told), sum(r.n_docs for r in told), sum(r.n_tokens for r in told), bytearray(merkle([bytes(r.root) for r in told])))
+    spark.createDataFrame([summary], "parts long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{where}/root")
+
+
+def _manifests(spark: SparkSession, where: str) -> list:
+    """The manifests by part: a row for each PART_DOCS documents."""
+    return spark.read.parquet(f"{where}/manifests").orderBy("part").collect()
 
 
 def _roots(recipes: DataFrame, check: bool = True) -> DataFrame:
-    """(part, n_docs, n_tokens, root, width) from the recipes, a few tens of thousands a task. check: the leaves are
-    made again from what they stand for and compared."""
-    own = recipes.select("part", "place", "n_tokens", "leaf", "width", *(["doc_id", "digests"] if check else []))
+    """(part, n_docs, n_tokens, root, width, whole) from the recipes, a few tens of thousands a task. whole, if
+    check: the leaves are those of what they stand for, and places and starts leave no gap."""
+    own = recipes.select("part", "place", "start", "n_tokens", "leaf", "width", *(["doc_id", "digests"] if check else []))
 
     def solve(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("place")
-        made = pdf["leaf"].map(bytes).tolist() if not check else [leaf(None if d is None or d != d else int(d), n, list(x)) for d, n, x in zip(pdf["doc_id"].astype("Int64").astype(object).where(pdf["doc_id"].notna(), None), pdf["n_tokens"].tolist(), pdf["digests"], strict=True)]
-        if made != pdf["leaf"].map(bytes).tolist() or pdf["place"].tolist() != list(range(len(pdf))):
-            raise ValueError(f"part {key[0]}: recipes do not match their leaves")
-        return pd.DataFrame({"part": [key[0]], "n_docs": [len(pdf)], "n_tokens": [int(pdf["n_tokens"].sum())], "root": [merkle(made)], "width": [int(pdf["width"].iloc[0])]})
+        told, places, starts, sizes = pdf["leaf"].map(bytes).tolist(), pdf["place"].tolist(), pdf["start"].tolist(), pdf["n_tokens"].tolist()
+        whole = True
+        if check:
+            ids = [None if d is None or d != d else int(d) for d in pdf["doc_id"].astype("Int64").astype(object).where(pdf["doc_id"].notna(), None)]
+            made = [leaf(d, p, s, n, list(x)) for d, p, s, n, x in zip(ids, places, starts, sizes, pdf["digests"], strict=True)]
+            whole = made == told and places == list(range(len(pdf))) and starts == [0, *np.cumsum(sizes)[:-1].tolist()]
+        return pd.DataFrame({"part": [key[0]], "n_docs": [len(pdf)], "n_tokens": [int(sum(sizes))], "root": [merkle(told)], "width": [int(pdf["width"].iloc[0])], "whole": [whole]})
 
-    return own.groupBy("part").applyInPandas(solve, "part int, n_docs long, n_tokens long, root binary, width int")
+    return own.groupBy("part").applyInPandas(solve, "part int, n_docs long, n_tokens long, root binary, width int, whole boolean")
 
 
 def store_root(spark: SparkSession, where: str) -> str:
-    """The Merkle root of the whole store in hex, from the manifests (one row a part)."""
-    return merkle([bytes(r.root) for r in spark.read.parquet(f"{where}/manifests").select("part", "root").orderBy("part").collect()]).hex()
+    """The Merkle root of the whole store in hex."""
+    return bytes(spark.read.parquet(f"{where}/root").first().root).hex()
+
+
+def verify(spark: SparkSession, where: str) -> None:
+    """Raises ValueError unless the recipes are, part by part, those of the manifests, and these those of the root."""
+    recipes, manifests, told = spark.read.parquet(f"{where}/recipes"), _manifests(spark, where), spark.read.parquet(f"{where}/root").collect()
+    if len(told) != 1:
+        raise ValueError("the store has no root")
+    if (len(manifests), sum(r.n_docs for r in manifests), sum(r.n_tokens for r in manifests), merkle([bytes(r.root) for r in manifests])) != (*told[0][:3], bytes(told[0].root)):
+        raise ValueError("the manifests do not make up the store's root")
+    first = 0
+    for r in manifests:
+        if r.first_token != first:
+            raise ValueError(f"part {r.part} does not begin where the one before it ends")
+        first += r.n_tokens
+    own = spark.read.parquet(f"{where}/manifests").select("part", *[F.col(c).alias(f"m_{c}") for c in ("n_docs", "n_tokens", "root", "width")])
+    same = F.col("whole")
+    for c in ("n_docs", "n_tokens", "root", "width"):
+        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    wrong = _roots(recipes).join(own, "part", "full_outer").where(~F.coalesce(same, F.lit(False))).select("part").limit(5).collect()
+    if wrong:
+        raise ValueError(f"recipes do not match the manifests of parts {sorted(r.part for r in wrong)}")
 
 
 def read_store(spark: SparkSession, where: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document from the store's files, each chunk and part checked."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document from the store's files. The store is verified first,
+    each chunk as it is read."""
+    verify(spark, where)
     chunks, recipes, manifests = (spark.read.parquet(f"{where}/{t}") for t in ("chunks", "recipes", "manifests"))
     first = manifests.select("width").first()
     if first is None:
@@ -340,19 +406,20 @@ def read_store(spark: SparkSession, where: str) -> DataFrame:
     of = each.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("of"))
     of = of.select("part", "place", F.col("of.n").alias("sizes"), F.col("of.crc").alias("crcs"))
     crcs = arrow_map(of, join, "part int, place long, n long, ids_crc32 long")
-    told = manifests.select("part", "first_token", F.col("root").alias("told"), F.col("n_docs").alias("docs_told"))
-    right = _roots(recipes).join(told, "part").select("part", F.when((F.col("root") == F.col("told")) & (F.col("n_docs") == F.col("docs_told")), F.col("first_token")).otherwise(F.raise_error(F.lit("a part does not match its manifest")).cast("long")).alias("first_token"))
-    own = recipes.select("part", "place", "doc_id", "start", "n_tokens").join(crcs, ["part", "place"]).join(right, "part")
+    own = recipes.select("part", "place", "doc_id", "start", "n_tokens").join(crcs, ["part", "place"], "left").join(manifests.select("part", "first_token"), "part")
     whole = F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document has lost ids")).cast("long"))
     return own.select("doc_id", (F.col("first_token") + F.col("start")).alias("start"), whole.alias("n_tokens"), "ids_crc32")
 
 
 def read_ids(spark: SparkSession, where: str) -> DataFrame:
     """(doc_id, ids array<long>) of each document, rebuilt from its chunks."""
+    verify(spark, where)
     chunks, recipes, manifests = (spark.read.parquet(f"{where}/{t}") for t in ("chunks", "recipes", "manifests"))
     first = manifests.select("width").first()
     width = first.width if first else 4
-    each = recipes.select("part", "place", "doc_id", F.posexplode("digests").alias("pos", "digest")).join(chunks, "digest")
+    right = F.when(F.sha2("ids", 256) == F.lower(F.hex("digest")), F.col("ids")).otherwise(F.raise_error(F.lit("a chunk does not hold what its digest says")).cast("binary"))
+    each = recipes.select("part", "place", "doc_id", F.posexplode("digests").alias("pos", "digest")).join(chunks.select("digest", right.alias("ids")), "digest", "left")
+    each = each.withColumn("ids", F.coalesce("ids", F.raise_error(F.lit("a chunk of a recipe is missing")).cast("binary")))
     of = each.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("of"))
 
     def rows(b: dict) -> dict:

@@ -159,25 +159,66 @@ def test_store(odd, none, spark, tmp_path):
     assert token_store.read_store(spark, empty).count() == 0
 
 
-def test_broken_store_is_refused(odd, spark, tmp_path):
+def test_broken_store_is_refused(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
-    where, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    token_store.write_store(odd, where, TOKENIZER)
-    for t in ("recipes", "manifests"):
-        spark.read.parquet(f"{where}/{t}").write.parquet(f"{bad}/{t}")
-    spark.read.parquet(f"{where}/chunks").withColumn("ids", F.concat("ids", "ids")).write.parquet(f"{bad}/chunks")
-    with pytest.raises(Exception, match="does not hold"):
-        token_store.read_store(spark, bad).collect()
+    monkeypatch.setattr(token_store, "PART_DOCS", 100)
+    docs = spark.createDataFrame([(i, f"text number {i} " + "of some words " * (i % 90)) for i in range(400)], "doc_id bigint, text string")
+    where = str(tmp_path / "good")
+    token_store.write_store(docs, where, TOKENIZER)
+    assert token_store.read_store(spark, where).count() == 400 and spark.read.parquet(f"{where}/manifests").count() == 4
+    part = F.col("part") == 2
+    second = F.col("place") == 2
+    changes = {
+        "chunks": [("does not hold", lambda t: t.withColumn("ids", F.concat("ids", "ids"))), ("chunk of a recipe is missing", lambda t: t.where("length(ids) % 3 != 0"))],
+        "recipes": [
+            ("do not match", lambda t: t.where(~part)),
+            ("do not match", lambda t: t.where(~(part & second))),
+            ("do not match", lambda t: t.unionByName(t.where(part & second))),
+            ("do not match", lambda t: t.withColumn("start", F.when(part, F.col("start") + 1).otherwise(F.col("start")))),
+            ("do not match", lambda t: t.withColumn("doc_id", F.when(part & second, F.lit(5)).otherwise(F.col("doc_id")))),
+        ],
+        "manifests": [("make up", lambda t: t.where(~part)), ("begin", lambda t: t.withColumn("first_token", F.col("first_token") + F.when(part, 1).otherwise(0)))],
+        "root": [("no root", lambda t: t.where("false"))],
+    }
+    for at, (table, some) in enumerate(changes.items()):
+        for k, (what, change) in enumerate(some):
+            bad = str(tmp_path / f"bad{at}-{k}")
+            for t in ("chunks", "recipes", "manifests", "root"):
+                held = spark.read.parquet(f"{where}/{t}")
+                (change(held) if t == table else held).write.parquet(f"{bad}/{t}")
+            for read in (token_store.read_store, token_store.read_ids) if table == "chunks" else (token_store.verify,):
+                with pytest.raises(Exception, match=what):
+                    found = read(spark, bad)
+                    found.collect()
+
+
+def same_ids(texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = [e.ids + [1] for e in plain.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in token_store.encode_all(texts, TOKENIZER)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
 def test_words_encode_as_texts():
+    same_ids(["Été. ÉTÉ!! İstanbul TARİHİ. MECLİSİ, İ! ΑΣ. åB ǰ J̌ <|endoftext|>. <|EndOfText|> it's IT'S don't!? 12.5% …abc… SS. œuf. a.b,c.. ' '.", " x y\x85z", "日本語。テキスト. 한글. é́."])
+    rng = random.Random(3)
+    letters = [chr(c) for a, b in ((0x20, 0x400), (0x1E00, 0x1F00), (0x2000, 0x2070)) for c in range(a, b)]
+    closing = [*".,!?:;%&*#$'\")", "'s", "\u0307", "\u0301", "<|endoftext|>"]
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(4))) + rng.choice(letters[:600]) + rng.choice(closing)
+    same_ids([" ".join(word() for _ in range(rng.randrange(1, 12))) for _ in range(4000)])
+    same_ids([a + c for a in letters for c in closing])
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
     from tokenizers import Tokenizer
 
-    odd_texts = ["Été. ÉTÉ!! İstanbul ΑΣ. åB ǰ J̌ <|endoftext|>. <|EndOfText|> it's IT'S don't!? 12.5% …abc… SS. œuf. a.b,c.. ' '.", " x y\x85z", "日本語。テキスト. 한글. é́."]
-    plain = Tokenizer.from_file(TOKENIZER)
-    for raw, text in zip(token_store.encode_all(odd_texts, TOKENIZER), odd_texts, strict=True):
-        assert np.frombuffer(raw, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, texts = Tokenizer.from_file(path), ["A text  with Two blanks.", "", "more\nlines, İ."]
+    assert not token_store._encoder(path).wordwise and token_store._encoder(TOKENIZER).wordwise
+    assert [np.frombuffer(r, "<u2").tolist() for r in token_store.encode_all(texts, path)] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 def test_cuts_and_crc():
