@@ -107,6 +107,46 @@ def test_links_for_every_number_of_parts(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_five_thousand_under_one_key(spark):
+    """All agree on 40 bits, so that some key of any part count holds many: chains, a dense group and strangers."""
+    import random
+
+    rng = random.Random(8)
+    low = [rng.getrandbits(24) for _ in range(4000)]
+    dense = [low[0] ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(1, 7))) for _ in range(1000)]
+    fps = sorted({*low, *dense})
+    near = {b: b for b in fps}
+
+    def find(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for a in fps:
+        for k in range(24):
+            for j in range(k, 24):
+                for i in range(j, 24):
+                    b = a ^ (1 << k | 1 << j | 1 << i)
+                    if b > a and b in near:
+                        near[find(b)] = find(a)
+    df = spark.createDataFrame([(f << 40 | 0x1234567890, 1) if f < 1 << 23 else ((f << 40 | 0x1234567890) - (1 << 64), 1) for f in fps], "fp bigint, n bigint").repartition(4)
+    found = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    groups, brute = {}, {}
+    for f in fps:
+        signed = f << 40 | 0x1234567890
+        signed = signed if f < 1 << 23 else signed - (1 << 64)
+        groups.setdefault(found.get(signed, signed), set()).add(f)
+        brute.setdefault(find(f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    text = "some words that are the same in both of these documents here"
+    df = spark.createDataFrame([(1, text, 7, 8, "a"), (2, text, 9, 10, "b"), (None, None, 1, 2, "c")], "doc_id bigint, text string, _own_id int, _own_th int, `keep.id` string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text, 7, 8, "a"), (None, None, 1, 2, "c")], key=str)
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").unionAll(spark.sql("SELECT 200L, 201L")).unionAll(spark.sql("SELECT 5L, 5L"))
     got = {r.node: r.root for r in components.components(edges).collect()}
