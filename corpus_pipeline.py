@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, near-dedup by shingles, substring dedup, mixing, packing.
+"""The corpus pipeline: quality rules, SimHash near-dedup, substring dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame of all it keeps; all but the last return the
 columns of documents. The stages' rules for nulls, empty texts and repeated rows are those of their operators.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repairlake.llm import mixing, packing, quality_rules, similar, substring_dedup
+from repairlake.llm import mixing, near_copies, packing, quality_rules, substring_dedup
 from repairlake.llm.common import staged, table
 
 
@@ -18,8 +18,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 5-word shingles, Jaccard similarity of 0.8 or more."""
-    return similar.keep_one(docs)
+    """One document of each group of near-duplicates: close fingerprints, verified at a Jaccard similarity of 0.8 on 5-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", rules),
-    ("near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("substring dedup", repeats),
     ("mixing to target weights", mixture),
     ("best-fit packing", packs),
