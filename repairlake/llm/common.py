@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +54,26 @@ def unstage(*tables: DataFrame) -> None:
                 where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, start: Callable | None = None, at_once: int = 1000) -> DataFrame:
-    """mapInArrow over at most at_once rows at a time as lists of Python values: ``rows`` turns columns into
-    columns of any length. ``start()``, once a task, returns what ``rows`` gets as its second argument."""
+AT_MOST = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, at_once: int, at_most: int = AT_MOST) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most at_once rows, whose texts and binaries together have at most at_most bytes (or one row)."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(size), 0
+    while begin < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + at_most, "right"))
+        stop = min(begin + at_once, max(full, begin + 1))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
+def arrow_map(df: DataFrame, rows: Callable, schema: str, start: Callable | None = None, at_once: int = 1000) -> DataFrame:
+    """mapInArrow over slices() of the batches as lists of Python values: ``rows`` turns columns into columns of any
+    length, or yields several such. ``start()``, once a task, returns what ``rows`` gets as its second argument."""
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -64,11 +83,11 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
         for batch in batches:
-            for at in range(0, batch.num_rows, at_once):
-                part = batch.slice(at, at_once)
+            for part in slices(batch, at_once):
                 got = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
                 made = rows(got, state) if start else rows(got)
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+                for one in (made,) if isinstance(made, dict) else made:
+                    yield pa.RecordBatch.from_arrays([pa.array(one[f.name], type=f.type) for f in arrow], schema=arrow)
             pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)

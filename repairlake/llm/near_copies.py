@@ -8,9 +8,9 @@ classes and do not meet. Each candidate pair is then verified: first by parities
 bit; more odd bits than the similarity allows differences rule a pair out, and never wrongly), then on all
 shingles. Only verified pairs link.
 
-Under a hot key the leader is compared with all first, then up to TURNS further leaders with what is not yet
-in their component, while there is much of it; at last all pairs of different components are compared. So a
-dense group gives a few stars and not all its pairs, and no candidate is left out.
+Under a hot key the leader is compared with all first, then, while there is much left to compare, up to TURNS
+further leaders with what is not yet in their component; at last all that is not in a key's largest component
+is compared with all of the key. So a dense group gives a few stars and not all its pairs, and no candidate is left out.
 
 What is missed are pairs whose fingerprints are further apart (README has the measured share). Equal sets
 of shingles are one node. Shingles are compared as 64-bit hashes. A null or empty text has no shingles,
@@ -29,23 +29,28 @@ from pyspark.sql import functions as F
 from .common import arrow_map, staged
 from .components import components
 from .simhash import _LOWER, KEY, kept_rows, light_and_heavy, make_plan, rest_of_hot, starred
-from .wordhash import Batch, groups_of, mix, ngrams
+from .wordhash import Batch, groups_of, ngrams
 
 SHINGLE, PERCENT, MAX_BITS = 5, 80, 10
-#: Further leaders, while hot keys hold over DENSE rows of other components for each row.
-TURNS, DENSE = 6, 32
+#: Further leaders at most, while over ENOUGH comparisons are left under hot keys.
+TURNS, ENOUGH = 4, 20_000_000
 _U = np.uint64
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate((h[:1] == h[:1], h[1:] != h[:-1]))]
+
+
 def word_and_shingle_sets(texts: list[str | None], shingle: int):
     """For each text the distinct hashes of its words, and those of its shingles, ascending."""
     raws = [(t or "").encode().translate(_LOWER) for t in texts]
     for i, j in groups_of(raws):
         batch = Batch(raws[i:j])
-        for d in range(j - i):
-            h = batch.hashes[batch.first[d] : batch.stop[d]]
-            k = min(shingle, len(h))
-            yield np.unique(h), np.unique(ngrams(h, k) ^ _U(k)) if k else h
+        grams = ngrams(batch.hashes, shingle)
+        for a, z in zip(batch.first.tolist(), batch.stop.tolist(), strict=True):
+            h = batch.hashes[a:z]
+            yield distinct(h), distinct(grams[a : z - shingle + 1] if z - a >= shingle else ngrams(h, len(h)) ^ _U(len(h)))
 
 
 def set_fingerprint(h: np.ndarray) -> int:
@@ -63,9 +68,8 @@ def parities(own: np.ndarray) -> bytes:
 
 
 def set_id(own: np.ndarray) -> int:
-    """A hash of a set."""
-    with np.errstate(over="ignore"):
-        return int((mix(own + _U(len(own))).sum(dtype=np.uint64) ^ _U(len(own))).view(np.int64)) if len(own) else 0
+    """A hash of a set of hashes."""
+    return int((own.sum(dtype=np.uint64) ^ _U(len(own))).view(np.int64)) if len(own) else 0
 
 
 def size_class(size: int, percent: int) -> int:
@@ -139,19 +143,20 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: in
     if heavy.isEmpty():
         return found
     for turn in range(TURNS + 1):
-        rooted = heavy.drop("lead").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        of_key = rooted.groupBy(*KEY).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("node", "fp", "size", "root"), F.xxhash64(F.lit(turn), "node")).alias("lead"))
-        of_key = staged(of_key.where("lo < hi"), "open-keys")
-        held = of_key.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
-        mixed = staged(rooted.join(of_key.select(*KEY, "lead"), KEY), "mixed")
-        if turn == TURNS or (held.pairs or 0) <= DENSE * (held.rows or 0):
+        rooted = staged(heavy.drop("lead").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        sample = F.min_by(F.struct("node", "fp", "size", "root"), F.xxhash64(F.lit(turn), "node")).alias("lead")
+        by_root = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n"), sample)
+        main = by_root.groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+        main = staged(main, "open-keys")
+        left = main.agg(F.sum(F.expr("(n - most) * n")).alias("left")).first().left or 0
+        if turn == TURNS or left <= ENOUGH:
             break
-        more = staged(star(mixed.where("root <> lead.root")).distinct().join(asked, ["a", "b"], "left_anti"), "asked")
+        lead = by_root.join(main.select(*KEY, "main"), KEY).where("root <> main").groupBy(*KEY).agg(F.max_by("lead", F.struct("n", "root")).alias("lead"))
+        more = staged(star(rooted.join(lead, KEY).where("root <> lead.root")).distinct().join(asked, ["a", "b"], "left_anti"), "asked")
         asked = asked.unionByName(more)
         found = found.unionByName(check(more))
-    main = mixed.groupBy(*KEY, "root").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    done = mixed.drop("lead").join(main, KEY).withColumn("done", F.col("root") == F.col("main"))
-    rest = rest_of_hot(done.select(*KEY, "node", "fp", "done"), plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = rooted.join(main, KEY).select(*KEY, "node", "fp", (F.col("root") == F.col("main")).alias("done"))
+    rest = rest_of_hot(done, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(check(rest.distinct().join(asked, ["a", "b"], "left_anti")))
 
 

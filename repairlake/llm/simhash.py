@@ -39,8 +39,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: The cost of one lookup, shuffled and sorted, in candidates compared inside the join.
 PROBE_COST = 100
 CELL_BITS = 12
-#: Fingerprints from which on a key is hot.
-HOT = 64
+#: Fingerprints from which on a key is hot: well above what lookups of least cost meet by chance.
+HOT = 1024
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from repairlake.llm import components, quality_rules, simhash, substring_dedup
 
 from .conftest import odd_rows
@@ -147,7 +149,9 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text, 7, 8, "a"), (None, None, 1, 2, "c")], key=str)
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [0, 20, 15_000])
+def test_components_of_a_path(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").unionAll(spark.sql("SELECT 200L, 201L")).unionAll(spark.sql("SELECT 5L, 5L"))
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200} or got == {**{i: 0 for i in range(1, 61)}, 201: 200}

@@ -100,14 +100,50 @@ def test_mix_stage(odd, none):
     assert words == +taken
 
 
+def checked(lengths, capacities, **cost):
+    """The total cost of a packing that holds what it must."""
+    placed, sizes = packing.best_fit(lengths, capacities, **cost)
+    bins = defaultdict(list)
+    for (b, at), n in zip(placed, lengths, strict=True):
+        bins[b].append((at, n))
+    assert sorted(bins) == list(range(len(sizes)))
+    for b, its in bins.items():
+        at = 0
+        for begin, n in sorted(its):
+            assert begin == at
+            at += n
+        assert sizes[b] == min(c for c in capacities if c >= at)
+    return sum(packing.cost(c, **cost) for c in sizes)
+
+
 def test_best_fit():
-    placed, sizes = packing.best_fit([400, 300, 112, 100, 100], (512, 1024))
-    used = Counter()
-    for (b, at), n in zip(placed, [400, 300, 112, 100, 100], strict=True):
-        assert at == used[b] or at < sizes[b]
-        used[b] += n
-    assert all(used[b] <= sizes[b] for b in used) and sum(sizes) == 1024
     assert packing.best_fit([10], (512, 1024))[1] == [512] and packing.best_fit([], (8,)) == ([], [])
+    rng = random.Random(7)
+    for _ in range(30):
+        checked([rng.randrange(1, 257) for _ in range(rng.randrange(1, 200))], (64, 100, 256))
+
+
+def test_lengths_are_chosen_jointly():
+    """Several lengths together cost less than the best one, near what no packing can go below, and the choice follows the cost."""
+    rng = random.Random(9)
+    lengths = [300 + rng.randrange(40) for _ in range(400)] + [rng.randrange(20, 200) for _ in range(600)] + [rng.randrange(2500, 4000) for _ in range(150)] + [900] * 100
+    rng.shuffle(lengths)
+    all_sizes = checked(lengths, packing.CAPACITIES)
+    # single: bins of the largest length, the only one that holds all; then two lengths
+    single = packing.cost(4096) * len(packing.fill(sorted(lengths, reverse=True), (4096,), {4096: packing.cost(4096)})[1])
+    assert all_sizes < 0.95 * single and all_sizes < checked(lengths, (512, 4096)) and all_sizes <= checked(lengths, (1024, 4096))
+    bound = sum(n * min(packing.cost(c) / c for c in packing.CAPACITIES if c >= n) for n in lengths)
+    assert all_sizes < 1.25 * bound
+    assert Counter(packing.best_fit(lengths)[1]).keys() >= {512, 4096}
+    # where only whole sequences cost, the longest are best
+    assert Counter(packing.best_fit([300] * 130, bin_cost=100_000)[1]) == {4096: 10}
+
+
+def test_packing_depends_on_rows_alone(spark):
+    rows = [(i % 700 if i % 9 else None, f"word{i % 3} " * (i * 7 % 900)) for i in range(3000)] + [(5, "the same words")] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    a, b = (Counter(map(tuple, packing.pack(d).collect())) for d in (df.repartition(2), df.repartition(7, "text")))
+    assert a == b
 
 
 @pytest.mark.parametrize("with_text", [False, True])
