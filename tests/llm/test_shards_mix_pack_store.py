@@ -275,6 +275,34 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_beyond_one_window(spark, clustered):
+    """Against brute force at ten times the rows of one window: small windows on clustered vectors, wide ones on isotropic."""
+    rng = np.random.default_rng(1)
+    n = 10_000 if clustered else 4000
+    x = rng.standard_normal((n, 24))
+    x = (x * 0.15 + rng.standard_normal((50, 24))[rng.integers(0, 50, n)]) if clustered else x
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = Counter()
+    for r in curves.nearest(df, every=20, least=256).collect():
+        got[r.query_id, r.vec_id] += 1
+    q = np.arange(0, n, 20)
+    s = x[q].astype(float) @ x.T.astype(float)
+    s[np.arange(len(q)), q] = -9
+    want = {(int(i), int(j)) for i, row in zip(q, np.argpartition(-s, 19, axis=1)[:, :20], strict=True) for j in row}
+    assert max(got.values()) == 1 and len(got) == 20 * len(q) and len(want & got.keys()) >= 0.92 * len(want)
+    found = []
+    keep = curves.windows
+    try:
+        curves.windows = lambda *a: found.append(a[-2:]) or keep(*a)
+        curves.nearest(df, every=20, least=256)
+    finally:
+        curves.windows = keep
+    used, window = found[0]
+    assert used * 2 * window < n / 2 if clustered else used * 2 * window > n / 2
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16)).astype(np.float32)
@@ -282,7 +310,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist(), "e") for i, v in enumerate(x)]
     rows += [(500, None, "e"), (None, x[0].tolist(), "e"), (520, [0.0] * 16, "e"), (540, [float("nan")] * 16, "e"), (560, [1.0], "e"), (580, [None] * 16, "e"), rows[20], rows[20]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, gid string").repartition(3)
-    got = sorted(map(tuple, curves.nearest(df, every=20, k=5, window=16).collect()))
+    got = sorted(map(tuple, curves.nearest(df, every=20, k=5).collect()))
     want = []
     exact = x.astype(np.float64)
     for q in range(0, 400, 20):
@@ -290,6 +318,9 @@ def test_neighbours(spark):
         best = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:5]
         want += [(q, r + 1, i, score[i]) for r, i in enumerate(best)]
     assert got == want
+    # windows of parts of the curve give the same where they are wide enough, and count what they miss
+    got = {(r.query_id, r.vec_id) for r in curves.nearest(df, every=20, k=5, recall=0.95, least=8).collect()}
+    assert len(got & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in curves.nearest(few, every=20).collect()] == [(0, 1, 1, 0.5)]
     assert curves.nearest(few.where("vec_id > 5"), every=20).count() == 0
