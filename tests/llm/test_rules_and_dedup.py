@@ -185,7 +185,10 @@ def brute_removed(rows, k=50):
     return out
 
 
-def test_substrings(odd, none):
+@pytest.mark.parametrize("met", [2, 32])
+def test_substrings(odd, none, monkeypatch, met):
+    """met: the references are in a broadcast shard, or not."""
+    monkeypatch.setattr(substring_dedup, "MET", met)
     rows = [(i, t) for i, t, *_ in odd_rows()]
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removal_digest(odd).collect())
     want = Counter((i, len(w), len(g), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in g).encode()).hexdigest()) for i, w, g in brute_removed(rows))
@@ -193,6 +196,42 @@ def test_substrings(odd, none):
     assert substring_dedup.removal_digest(none).count() == 0
 
 
+def test_texts_that_repeat_themselves(spark):
+    """One word, or a line, over and over: bounded rows, and the result of brute force."""
+    long = "word " * 200_000
+    line = "the same line of nine words again and again " * 900
+    rows = [(1, long), (2, long), (3, line), (4, f"something else first {line}"), (5, "x " * 49), (6, "word " * 49), (7, "other " + "word " * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    keyed = substring_dedup._keyed(df)
+    assert substring_dedup.anchor_rows(keyed).count() < 2 * 200_000 / 50
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.removal_digest(df).collect()}
+    n = len(line.split())
+    assert got == {1: (200_000, 0), 2: (200_000, 200_000), 3: (n, 0), 4: (n + 3, n), 5: (49, 0), 6: (49, 0), 7: (51, 50)}
+
+
+def test_spans_in_references(odd, none, spark, monkeypatch):
+    """Against every window of the references, in one shard and in many."""
+    rows = [r for r in odd_rows() if r[0] is not None and r[1] is not None]
+    references = [r[1] for r in rows[4:12]] + ["too short", None, rows[5][1] + " and more"]
+    windows = set()
+    for t in references:
+        w = WORD.findall(t or "")
+        windows |= {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+    want = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t)
+        if its := {j for k in range(len(w) - 49) if tuple(w[k : k + 50]) in windows for j in range(k, k + 50)}:
+            want[i, len(w)] = its
+    docs, refs = substring_dedup._keyed(odd).where("doc_id is not null and text is not null"), spark.createDataFrame([(t,) for t in references], "text string")
+    for bound in (substring_dedup.SHARD_WORDS, 6400):
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", bound)
+        found = {}
+        for r in substring_dedup.spans_in(docs, refs).collect():
+            found.setdefault(r.doc_id, set()).update(j for p in r.spans for j in range(p.s, p.e))
+        assert {i: s for (i, _), s in want.items()} == found
+    assert substring_dedup.spans_in(docs, refs.where("text is null")).count() == 0
+
+
 def test_substring_stage(odd, none):
     rows = [(i, t) for i, t, *_ in odd_rows()]
     cut = substring_dedup.remove_repeats(odd)
@@ -207,6 +246,6 @@ def test_substring_stage(odd, none):
 
 
 def test_automaton():
-    a = substring_dedup.Automaton([b"x", b"y", b"x", b"z"])
+    a = substring_dedup.Automaton([[b"x", b"y", b"x", b"z"]])
     assert a.matching([b"y", b"x", b"z", b"q", b"x", b"y", b"x", b"y"]) == [1, 2, 3, 0, 1, 2, 3, 2]
     assert substring_dedup.maximal_spans([0, 1, 2, 3, 0, 1, 2], 2) == [(1, 4), (5, 7)]
