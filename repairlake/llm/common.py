@@ -55,6 +55,7 @@ def unstage(*tables: DataFrame) -> None:
 
 
 AT_MOST = 8 << 20
+BITMAP_BITS = 24
 
 
 def slices(batch: pa.RecordBatch, at_once: int, at_most: int = AT_MOST) -> Iterator[pa.RecordBatch]:
@@ -93,6 +94,17 @@ def arrow_map(df: DataFrame, rows: Callable, schema: str, start: Callable | None
     return df.mapInArrow(run, out)
 
 
+def split_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs that may be among keys, and those that are not, by a bitmap of 2^24 places over (doc_id, th). It is
+    broadcast as at most 2^18 words of 64 bits."""
+    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << BITMAP_BITS))
+    at = keys.select(place.alias("p")).distinct().select((F.col("p") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    bits = F.broadcast(staged(at.groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bitmap"))
+    put = docs.withColumn("_place", place)
+    on = (F.floor(F.col("_place") / 64).cast("int") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_place % 64 as int)) & 1") == 1)
+    return tuple(put.join(bits, on, how).drop("_place") for how in ("left_semi", "left_anti"))
+
+
 def n_words(text) -> F.Column:
     """Words of a text as a JVM expression, long; null or empty: 0. Words become one letter each, blanks go."""
     squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")

@@ -8,8 +8,8 @@ classes and do not meet. Each candidate pair is then verified: first by parities
 bit; more odd bits than the similarity allows differences rule a pair out, and never wrongly), then on all
 shingles. Only verified pairs link.
 
-Under a hot key the leader is compared with all first, then, while there is much left to compare, up to TURNS
-further leaders with what is not yet in their component; at last all that is not in a key's largest component
+Under a hot key the leader is compared with all first, then, while there is much left to compare under keys that
+one component fills to a quarter, up to TURNS further leaders with what is not yet in theirs; at last all that is not in a key's largest component
 is compared with all of the key. So a dense group gives a few stars and not all its pairs, and no candidate is left out.
 
 What is missed are pairs whose fingerprints are further apart (README has the measured share). Equal sets
@@ -26,13 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged
+from .common import arrow_map, split_by, staged
 from .components import components
 from .simhash import _LOWER, KEY, kept_rows, light_and_heavy, make_plan, rest_of_hot, starred
 from .wordhash import Batch, groups_of, ngrams
 
 SHINGLE, PERCENT, MAX_BITS = 5, 80, 10
-#: Further leaders at most, while over ENOUGH comparisons are left under hot keys.
+#: Further leaders at most, while over ENOUGH comparisons are left under dense hot keys.
 TURNS, ENOUGH = 4, 20_000_000
 _U = np.uint64
 
@@ -120,7 +120,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     asked = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
     where = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("own_id"), F.col("first.th").alias("own_th"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    texts = keyed.join(where, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).select("node", "text").dropDuplicates(["node"])
+    may, _ = split_by(keyed, where.select(F.col("own_id").alias("doc_id"), F.col("own_th").alias("th")))  # else all texts would be shuffled
+    texts = may.join(where, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).select("node", "text").dropDuplicates(["node"])
     rows = lambda b: {"node": b["node"], "own": [own.view(np.int64) for _, own in word_and_shingle_sets(b["text"], shingle)]}
     own = staged(arrow_map(texts, rows, "node long, own array<bigint>", at_once=200), "shingles")
     met = left.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
@@ -148,10 +149,11 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: in
         by_root = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n"), sample)
         main = by_root.groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
         main = staged(main, "open-keys")
-        left = main.agg(F.sum(F.expr("(n - most) * n")).alias("left")).first().left or 0
+        dense = main.where("4 * most >= n")  # in the others one more leader would say little
+        left = dense.agg(F.sum(F.expr("(n - most) * n")).alias("left")).first().left or 0
         if turn == TURNS or left <= ENOUGH:
             break
-        lead = by_root.join(main.select(*KEY, "main"), KEY).where("root <> main").groupBy(*KEY).agg(F.max_by("lead", F.struct("n", "root")).alias("lead"))
+        lead = by_root.join(dense.select(*KEY, "main"), KEY).where("root <> main").groupBy(*KEY).agg(F.max_by("lead", F.struct("n", "root")).alias("lead"))
         more = staged(star(rooted.join(lead, KEY).where("root <> lead.root")).distinct().join(asked, ["a", "b"], "left_anti"), "asked")
         asked = asked.unionByName(more)
         found = found.unionByName(check(more))

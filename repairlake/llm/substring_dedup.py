@@ -38,11 +38,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, unstage
+from .common import arrow_map, split_by, staged, unstage
 from .wordhash import Batch, groups_of, ngrams
 
 WINDOW, ANCHOR, RUN = 50, 8, 64
-BITMAP_BITS = 24
 #: A shard that is broadcast: words, bytes, references, and the runs of windows that a reference must meet to be in it.
 SHARD_WORDS, SHARD_BYTES, SHARD_REFERENCES, MET = 100_000, 2 << 20, 1500, 32
 #: Bytes of passages at a time.
@@ -306,17 +305,6 @@ def spans_in(docs: DataFrame, references: DataFrame, window: int = WINDOW) -> Da
     return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _split_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs that may be among keys, and those that are not, by a bitmap of 2^24 places over (doc_id, th). It is
-    broadcast as at most 2^18 words of 64 bits."""
-    place = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << BITMAP_BITS))
-    at = keys.select(place.alias("p")).distinct().select((F.col("p") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
-    bits = F.broadcast(staged(at.groupBy("_word").agg(F.bit_or("b").alias("_bits")), "bitmap"))
-    put = docs.withColumn("_place", place)
-    on = (F.floor(F.col("_place") / 64).cast("int") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_place % 64 as int)) & 1") == 1)
-    return tuple(put.join(bits, on, how).drop("_place") for how in ("left_semi", "left_anti"))
-
-
 def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, th, spans): where words of a row with that doc_id and text (by its hash th) are covered.
     docs: doc_id, th, text, neither id nor text null."""
@@ -325,7 +313,7 @@ def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = staged(shared, "shared")  # a table of its own: only then can Spark split the join where an anchor is hot
     places = staged(anchors.join(shared.select("a", "m"), "a"), "places")
     unstage(anchors)
-    near, _ = _split_by(docs, places)
+    near, _ = split_by(docs, places)
     sent = _broadcast(docs.sparkSession, _frequent(near, places, shared, window))
     passages = staged(_passages(near, places, window, sent), "passages")
     unstage(places)
@@ -370,7 +358,7 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return got
 
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    may, rest = _split_by(keyed, spans)
+    may, rest = split_by(keyed, spans)
     joined = may.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"))
     return arrow_map(joined, rows, out).unionByName(arrow_map(rest.select("doc_id", "text"), rows, out))
 
@@ -400,7 +388,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     own = docs.withColumns({"_span_own": F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])})
     own = own.select("_span_own", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    may, rest = _split_by(own, spans)
+    may, rest = split_by(own, spans)
     found = may.join(spans.select("doc_id", "th", F.col("spans").alias("_spans")), ["doc_id", "th"], "left")
     made = found.withColumn("_cut", cut("text", F.col("_spans.s"), F.col("_spans.e"))).where("_spans is null or _cut <> ''")
     back = [F.col("text") if c == "text" else F.col(f"_span_own.c{i}").alias(c) for i, c in enumerate(docs.columns)]
