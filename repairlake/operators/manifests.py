@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of
@@ -14,7 +14,7 @@ DEFAULT_TEST_COMMAND = "python3 -m unittest discover -s tests"
 def plan_manifest(rows: DataFrame, existing: DataFrame | None = None, limit: int | None = None, dry_run: bool = False, order: str = "seq") -> DataFrame:
     """rows (seq, repo, task, test_command) with action (run, skip) and reason. Rows without repo or task, and those
     whose repo is not among existing (repo), are skipped; after limit runs all that is left is skipped without
-    a reason (emitted false, as no result row is written for those)."""
+    a reason (emitted false, as no result row is written for those). With a limit, rows is read twice; order tells rows apart."""
     r = rows.withColumns({"test_command": F.coalesce(F.nullif("test_command", F.lit("")), F.lit(DEFAULT_TEST_COMMAND)) if "test_command" in rows.columns else F.lit(DEFAULT_TEST_COMMAND)})
     if existing is not None:
         r = r.join(existing.select(F.col("repo")).distinct().withColumn("_there", F.lit(True)), "repo", "left").withColumn("_there", true("_there"))
@@ -26,9 +26,9 @@ def plan_manifest(rows: DataFrame, existing: DataFrame | None = None, limit: int
     if limit is None:
         r = r.withColumn("_full", F.lit(False))
     else:
-        # a manifest is a task list of one file: its running count is over the whole of it
-        before = F.coalesce(F.sum(F.when(F.col("_runs"), 1).otherwise(0)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        r = r.withColumn("_full", before >= limit)
+        # what comes after the last of the first runs; only those reach one place, as many as the limit says
+        first = r.where("_runs").orderBy(order).limit(limit).agg(F.count("*").alias("n"), F.max(order).alias("last")).first()
+        r = r.withColumn("_full", F.col(order) > first["last"] if limit and first["n"] == limit else F.lit(limit == 0))
     reason = F.when(F.col("_full"), None).when(missing, "missing repo or task").when(F.lit(dry_run), None).when(~F.col("_there"), "repo does not exist")
     act = F.when(F.col("_runs") & ~F.col("_full"), "run").otherwise("skip")
     return r.withColumns({"action": act, "reason": reason, "emitted": ~F.col("_full")}).drop("_runs", "_full", "_there")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import any_of
-from ..functions.text import compact, text_of
+from ..functions.text import compact, let, text_of
 
 #: What commands may begin with and must not hold, and what may not be written.
 DANGEROUS = ("rm -rf", "sudo", "curl ", "wget ", "| sh", "| bash", "mkfs", "dd ", "chmod -R 777")
@@ -29,17 +29,29 @@ def command_verdict(command) -> Column:
 
 
 def write_verdict(path) -> Column:
-    """allowed, escapes (the path leaves the workspace), protected or internal, for paths inside a workspace."""
+    """allowed, escapes (the path leaves the workspace), protected or internal, for paths inside a workspace. A step up
+    takes back the folder before it, so that what counts is where the path leads. A null or empty path is the
+    workspace itself: allowed."""
     parts = F.filter(F.split(text_of(path), "/"), lambda p: (p != "") & (p != "."))
-    # a step up takes back the folder before it; below the workspace it escapes
-    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, p: F.struct((a["at"] + F.when(p == "..", -1).otherwise(1)).alias("at"), F.least(a["low"], a["at"] + F.when(p == "..", -1).otherwise(1)).alias("low")))["low"]
-    name = F.element_at(parts, -1)
-    return (
-        F.when(text_of(path).startswith("/") | (depth < 0), "escapes")
-        .when(F.coalesce(name.isin(*PROTECTED_NAMES), F.lit(False)), "protected")
-        .when(F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS)), "internal")
-        .otherwise("allowed")
-    )
+
+    def step(a: Column, p: Column) -> Column:
+        up, depth = p == "..", F.size(a["at"])
+        return F.struct(
+            F.when(~up, F.concat(a["at"], F.array(p))).when(depth > 0, F.slice(a["at"], F.lit(1), depth - 1)).otherwise(a["at"]).alias("at"),
+            (a["out"] | (up & (depth == 0))).alias("out"),
+        )
+
+    def judged(led: Column) -> Column:
+        name = F.coalesce(F.try_element_at(led["at"], F.lit(-1)), F.lit(""))
+        return (
+            F.when(text_of(path).startswith("/") | led["out"], "escapes")
+            .when(name.isin(*PROTECTED_NAMES), "protected")
+            .when(F.exists(led["at"], lambda p: p.isin(*IGNORED_FOLDERS)), "internal")
+            .otherwise("allowed")
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("out"))
+    return let(F.aggregate(parts, start, step), judged)
 
 
 def container_command(workspace: Column, command: Column, image: str, network: str = "none", memory: str = "1g", cpus: str = "1") -> Column:
@@ -58,9 +70,11 @@ def grep_lines(files, pattern: str, most: int = 80):
 
 
 def file_list(files, most: int = 150):
-    """(path) of files outside ignored folders, in order, the first so many."""
+    """(path) of files outside ignored folders, in order, the first so many, and where there are more a last row that says so."""
     parts = F.split("path", "/")
-    return files.where(~F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS))).select("path").orderBy("path").limit(most)
+    first = files.where(~F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS))).select("path").orderBy("path").limit(most + 1)
+    place = F.row_number().over(Window.orderBy("path"))  # of most + 1 rows
+    return first.withColumn("place", place).select(F.when(F.col("place") > most, F.lit("... truncated")).otherwise(F.col("path")).alias("path"))
 
 
 def read_text(content: Column, most: int = 12000) -> Column:

@@ -27,35 +27,37 @@ def overlap_share(a: Column, b: Column) -> Column:
 def bug_fix_quality(
     records: DataFrame, positive=text.POSITIVE_KEYWORDS, negative=text.NEGATIVE_KEYWORDS, into: str = "bug_fix_quality"
 ) -> DataFrame:
-    """records with a struct of QUALITY_FIELDS added. Missing record columns count as null."""
+    """records with a struct of QUALITY_FIELDS added. Missing record columns count as null. Columns pass through
+    whatever their names; those beginning with __bug_ are reserved."""
     joined = lambda *cs, sep: F.concat_ws(sep, *[text.text_of(c) for c in cs])
     r = completed(records, RECORD)
-    r = r.withColumn("_diff", text.text_of("diff"))
-    r = r.withColumns({"_files": F.when(F.size("files") > 0, F.col("files")).otherwise(diffs.files_of(F.col("_diff"))), "_lines": text.split_lines(F.col("_diff"))})
+    names = [f"`{c}`" for c in r.columns]
+    r = r.withColumn("__bug_diff", text.text_of("diff"))
+    r = r.withColumns({"__bug_files": F.when(F.size("files") > 0, F.col("files")).otherwise(diffs.files_of(F.col("__bug_diff"))), "__bug_lines": text.split_lines(F.col("__bug_diff"))})
     r = r.withColumns(
         {
-            "_source": F.filter("_files", paths.is_source),
-            "_test": F.filter("_files", paths.is_test),
-            "_any": F.size("_files") > 0,
-            "_changed": diffs.count_lines(F.col("_lines"), "+") + diffs.count_lines(F.col("_lines"), "-"),
-            "_text": joined("pr_title", "pr_body", "issue_title", "issue_body", sep="\n"),
-            "_issue": joined("issue_title", "issue_body", sep=" "),
-            "_pr": text.without_reference_noise(joined("pr_title", "pr_body", sep=" ")),
+            "__bug_source": F.filter("__bug_files", paths.is_source),
+            "__bug_test": F.filter("__bug_files", paths.is_test),
+            "__bug_any": F.size("__bug_files") > 0,
+            "__bug_changed": diffs.count_lines(F.col("__bug_lines"), "+") + diffs.count_lines(F.col("__bug_lines"), "-"),
+            "__bug_text": joined("pr_title", "pr_body", "issue_title", "issue_body", sep="\n"),
+            "__bug_issue": joined("issue_title", "issue_body", sep=" "),
+            "__bug_pr": text.without_reference_noise(joined("pr_title", "pr_body", sep=" ")),
         }
     )
-    both = (text.strip(F.col("_issue")) != "") & (text.strip(F.col("_pr")) != "")
-    r = r.withColumns({"_issue_tokens": text.meaningful_tokens(F.col("_issue")), "_pr_tokens": text.meaningful_tokens(F.col("_pr"))})
+    both = (text.strip(F.col("__bug_issue")) != "") & (text.strip(F.col("__bug_pr")) != "")
+    r = r.withColumns({"__bug_issue_tokens": text.meaningful_tokens(F.col("__bug_issue")), "__bug_pr_tokens": text.meaningful_tokens(F.col("__bug_pr"))})
     r = r.withColumns(
         {
-            "_up": text.keyword_hits(F.col("_text"), positive),
-            "_up_diff": text.keyword_hits(diffs.changed_text(F.col("_diff")), positive),
-            "_down": text.keyword_hits(F.col("_text"), negative),
-            "_same": F.when(both, overlap_share(F.col("_issue_tokens"), F.col("_pr_tokens"))).otherwise(F.lit(0.0)),
-            "_docs": F.col("_any") & F.forall("_files", paths.is_docs_or_config),
-            "_tests": F.col("_any") & (F.size("_test") > 0) & (F.size("_source") == 0),
-            "_dependency": F.col("_any") & F.forall("_files", paths.is_dependency),
-            "_low": F.col("_any") & F.forall("_files", lambda p: paths.is_low_signal(p) | paths.is_docs_or_config(p)),
-            "_huge": (F.size("_files") > 30) | (F.col("_changed") > 1800),
+            "__bug_up": text.keyword_hits(F.col("__bug_text"), positive),
+            "__bug_up_diff": text.keyword_hits(diffs.changed_text(F.col("__bug_diff")), positive),
+            "__bug_down": text.keyword_hits(F.col("__bug_text"), negative),
+            "__bug_same": F.when(both, overlap_share(F.col("__bug_issue_tokens"), F.col("__bug_pr_tokens"))).otherwise(F.lit(0.0)),
+            "__bug_docs": F.col("__bug_any") & F.forall("__bug_files", paths.is_docs_or_config),
+            "__bug_tests": F.col("__bug_any") & (F.size("__bug_test") > 0) & (F.size("__bug_source") == 0),
+            "__bug_dependency": F.col("__bug_any") & F.forall("__bug_files", paths.is_dependency),
+            "__bug_low": F.col("__bug_any") & F.forall("__bug_files", lambda p: paths.is_low_signal(p) | paths.is_docs_or_config(p)),
+            "__bug_huge": (F.size("__bug_files") > 30) | (F.col("__bug_changed") > 1800),
         }
     )
     linked = F.coalesce(F.col("issue_number") != 0, F.lit(False))
@@ -63,34 +65,34 @@ def bug_fix_quality(
     words = lambda label, hits: F.concat(F.lit(label), F.array_join(F.slice(hits, 1, 5), ", "))
     has = lambda c: F.size(c) > 0
     rules = [
-        (has("_up"), F.least(F.lit(3), F.size("_up")).cast("double"), words("positive text keywords: ", F.col("_up"))),
-        (has("_up_diff"), F.lit(1.0), words("positive diff keywords: ", F.col("_up_diff"))),
+        (has("__bug_up"), F.least(F.lit(3), F.size("__bug_up")).cast("double"), words("positive text keywords: ", F.col("__bug_up"))),
+        (has("__bug_up_diff"), F.lit(1.0), words("positive diff keywords: ", F.col("__bug_up_diff"))),
         (linked, F.lit(1.0), F.lit("linked issue")),
-        (told & (F.col("_same") >= 0.12), F.lit(0.5), F.lit("issue and PR text are consistent")),
-        (told & (F.col("_same") < 0.04), F.lit(-1.5), F.lit("issue and PR text are weakly aligned")),
-        (has("_source"), F.lit(1.0), F.lit("touches source files")),
-        (has("_test") & has("_source"), F.lit(0.5), F.lit("touches tests with source")),
-        (has("_down"), F.lit(-3.0), words("negative keywords: ", F.col("_down"))),
-        (F.col("_docs"), F.lit(-4.0), F.lit("docs or CI/config only")),
-        (F.col("_tests"), F.lit(-3.0), F.lit("tests only")),
-        (F.col("_dependency"), F.lit(-4.0), F.lit("dependency files only")),
-        (F.col("_low") & ~has("_source"), F.lit(-3.0), F.lit("low-signal generated/vendor/config files only")),
-        (F.col("_huge"), F.lit(-2.0), F.lit("very large patch")),
+        (told & (F.col("__bug_same") >= 0.12), F.lit(0.5), F.lit("issue and PR text are consistent")),
+        (told & (F.col("__bug_same") < 0.04), F.lit(-1.5), F.lit("issue and PR text are weakly aligned")),
+        (has("__bug_source"), F.lit(1.0), F.lit("touches source files")),
+        (has("__bug_test") & has("__bug_source"), F.lit(0.5), F.lit("touches tests with source")),
+        (has("__bug_down"), F.lit(-3.0), words("negative keywords: ", F.col("__bug_down"))),
+        (F.col("__bug_docs"), F.lit(-4.0), F.lit("docs or CI/config only")),
+        (F.col("__bug_tests"), F.lit(-3.0), F.lit("tests only")),
+        (F.col("__bug_dependency"), F.lit(-4.0), F.lit("dependency files only")),
+        (F.col("__bug_low") & ~has("__bug_source"), F.lit(-3.0), F.lit("low-signal generated/vendor/config files only")),
+        (F.col("__bug_huge"), F.lit(-2.0), F.lit("very large patch")),
     ]
     score = F.lit(0.0)
     for when, points, _ in rules:
         score = score + F.when(when, points).otherwise(F.lit(0.0))
-    r = r.withColumns({"_score": score, "_reasons": F.array_compact(F.array(*[F.when(when, said) for when, _, said in rules]))})
-    fix = (F.col("_score") >= 2) & ~F.col("_docs") & ~F.col("_tests") & ~F.col("_dependency") & ~(F.col("_low") & ~has("_source"))
-    values = (fix, F.col("_score"), F.col("_reasons"), F.col("_source"), F.col("_test"), F.col("_docs"), F.col("_tests"), F.col("_dependency"), F.col("_low"), F.col("_huge"), F.col("_same"))
+    r = r.withColumns({"__bug_score": score, "__bug_reasons": F.array_compact(F.array(*[F.when(when, said) for when, _, said in rules]))})
+    fix = (F.col("__bug_score") >= 2) & ~F.col("__bug_docs") & ~F.col("__bug_tests") & ~F.col("__bug_dependency") & ~(F.col("__bug_low") & ~has("__bug_source"))
+    values = (fix, F.col("__bug_score"), F.col("__bug_reasons"), F.col("__bug_source"), F.col("__bug_test"), F.col("__bug_docs"), F.col("__bug_tests"), F.col("__bug_dependency"), F.col("__bug_low"), F.col("__bug_huge"), F.col("__bug_same"))
     made = r.withColumn(into, F.struct(*[v.alias(n) for n, v in zip(QUALITY_FIELDS, values, strict=True)]))
-    return made.select(*[c for c in r.columns if not c.startswith("_")], into)
+    return made.select(*names, into)
 
 
 def with_quality(records: DataFrame) -> DataFrame:
     """records with the fields of their score as columns, in place of any they had."""
-    made = bug_fix_quality(records, into="_quality")
-    return made.withColumns({c: F.col(f"_quality.{c}") for c in QUALITY_FIELDS}).drop("_quality")
+    made = bug_fix_quality(records, into="__bug_quality")
+    return made.withColumns({c: F.col(f"__bug_quality.{c}") for c in QUALITY_FIELDS}).drop("__bug_quality")
 
 
 def bug_fixes_only(scored: DataFrame, keep_docs: bool = False, keep_tests: bool = False) -> DataFrame:
@@ -136,6 +138,6 @@ def cached_union(records: DataFrame, *order: str) -> DataFrame:
     first = completed(first_by_id(records, *order), RECORD)
     link = text.linked_issue("pr_title", "pr_body").cast("bigint")
     same = link.eqNullSafe(F.col("issue_number"))
-    sane = first.withColumns({"_link": link, "_same_link": same})
-    sane = sane.withColumns({c: F.when(F.col("_same_link"), F.col(c)).otherwise(F.lit("")) for c in ("issue_title", "issue_body")} | {"issue_number": F.col("_link")})
-    return with_quality(sane.drop("_link", "_same_link"))
+    sane = first.withColumns({"__bug_link": link, "__bug_same": same})
+    sane = sane.withColumns({c: F.when(F.col("__bug_same"), F.col(c)).otherwise(F.lit("")) for c in ("issue_title", "issue_body")} | {"issue_number": F.col("__bug_link")})
+    return with_quality(sane.drop("__bug_link", "__bug_same"))

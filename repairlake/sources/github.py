@@ -3,9 +3,10 @@
     spark.dataSource.register(PullRequests)
     spark.read.format("pull_requests").option("repo", "owner/name").option("limit", 300).load()
 
-Pages hold up to 100; a page that is short is the last. Each request is tried three times: rate limits and
-server errors wait and try again, others give nothing. fetch, an option of the class, can be replaced in tests.
-with_issues adds the issues that the pull requests close.
+Pages hold up to 100; those beyond the last are empty. Each request is tried three times: rate limits, server
+errors and lost connections wait and try again, and if they last raise, so that Spark runs the task again and a
+page is never taken for an empty one. What does not exist gives nothing. fetch, an option of the class, can be
+replaced in tests. with_issues adds the issues that the pull requests close.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ PAGE = 100
 
 
 def fetch(url: str, accept: str = "application/vnd.github+json", attempts: int = 3, wait: float = 2.0) -> str:
-    """The body of a page; empty where it can't be had."""
+    """The body of a page; empty where there is none. Raises OSError where the last attempt fails for another reason."""
     headers = {"User-Agent": "repairlake", "Accept": accept}
     if token := os.environ.get("GITHUB_TOKEN"):
         headers["Authorization"] = f"Bearer {token}"
@@ -36,15 +37,17 @@ def fetch(url: str, accept: str = "application/vnd.github+json", attempts: int =
             with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=60) as answer:
                 return answer.read().decode("utf-8", "replace")
         except urllib.error.HTTPError as e:
-            if e.code not in RETRIED or attempt + 1 == attempts:
+            if e.code not in RETRIED:
                 return ""
+            if attempt + 1 == attempts:
+                raise
             reset = float(e.headers.get("X-RateLimit-Reset") or 0) - time.time()
             time.sleep(min(60.0, reset) if e.code in (403, 429) and reset > 0 else wait * (attempt + 1))
         except OSError:
             if attempt + 1 == attempts:
-                return ""
+                raise
             time.sleep(wait * (attempt + 1))
-    return ""
+    raise ValueError("no attempt was allowed")
 
 
 def as_object(body: str):
@@ -105,7 +108,10 @@ def with_issues(pulls: DataFrame, get=fetch) -> DataFrame:
             issues = []
             for key in zip(batch.column("repo").to_pylist(), batch.column("issue_number").to_pylist(), strict=True):
                 if key not in known:
-                    issue = as_object(get(f"{API}/repos/{key[0]}/issues/{key[1]}")) if key[1] else {}
+                    try:
+                        issue = as_object(get(f"{API}/repos/{key[0]}/issues/{key[1]}")) if key[1] else {}
+                    except OSError:  # a record without its issue is still a record
+                        issue = {}
                     known[key] = issue if isinstance(issue, dict) else {}
                 issues.append(known[key])
             columns = [pa.array([i.get(c) or "" for i in issues], pa.string()) for c in ("title", "body")]
