@@ -11,7 +11,7 @@ import ast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, function_name, function_skeleton, safe_id, text_of
+from ..functions.text import compact, filled, function_name, function_skeleton, safe_id, text_of
 from .manifests import DEFAULT_TEST_COMMAND
 
 AGENT_NOTE = "Make the smallest code change. Run tests after editing.\n"
@@ -267,20 +267,70 @@ def test_command(selectors: Column, files: Column, fallback: str = DEFAULT_TEST_
     return F.when(F.size(selectors) > 0, run(selectors)).when(F.size(modules) > 0, run(modules)).otherwise(fallback)
 
 
-def completion_tasks(files: DataFrame, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """Manifest rows of targets with the blanked file as content; those that can't be blanked go."""
+BASELINE = "ok boolean, output string"
+
+
+def baseline_checked(tasks: DataFrame, files: DataFrame, timeout: float = 30) -> DataFrame:
+    """tasks (repo, test_command, ...) with baseline, a struct<ok, output>: whether the command passes in a copy of the
+    repository as it is. A command that can't be run, or not in time, is not ok, and its output says why. A task
+    gets its repository's files in one row; each is run by itself on an executor."""
+    from .agent import Workspace
+
+    held = files.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("path", F.coalesce("content", F.lit("")).alias("content")))).alias("files"))
+
+    @F.pandas_udf(BASELINE)
+    def run(trees, commands):
+        import shlex
+        import subprocess
+        import tempfile
+        from pathlib import Path
+
+        import pandas as pd
+
+        rows = []
+        for tree, command in zip(trees, commands, strict=True):
+            with tempfile.TemporaryDirectory() as folder:
+                place = Workspace(Path(folder), dict(tree))
+                try:
+                    ran = subprocess.run(shlex.split(command), cwd=place.root, env=place.environment(), text=True, capture_output=True, timeout=timeout, check=False)
+                    rows.append((ran.returncode == 0, (ran.stdout + "\n" + ran.stderr).strip()))
+                except Exception as e:  # noqa: BLE001  told as the check's outcome
+                    rows.append((False, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["ok", "output"])
+
+    return tasks.join(held, "repo").withColumn("baseline", run("files", "test_command")).drop("files")
+
+
+def completion_tasks(files: DataFrame, targets: DataFrame, limit: int | None = None, full_command: str = DEFAULT_TEST_COMMAND, check_baseline: bool = True, timeout: float = 30) -> DataFrame:
+    """Manifest rows of targets with the blanked file as content. Targets that can't be blanked, whose blanked file is no
+    Python, or (check_baseline) whose tests do not pass before go; limit is applied before that."""
 
     @F.pandas_udf("string")
     def blank(contents, functions, owners):
+        import ast
+
         import pandas as pd
 
-        return pd.Series([blanked(c, f, o or "") for c, f, o in zip(contents, functions, owners, strict=True)], dtype=object)
+        out = [blanked(c, f, o or "") for c, f, o in zip(contents, functions, owners, strict=True)]
+        for i, made in enumerate(out):
+            try:
+                ast.parse(made or "")
+            except (SyntaxError, ValueError):
+                out[i] = None
+        return pd.Series(out, dtype=object)
 
     some = targets.orderBy("repo", "at").limit(limit) if limit is not None else targets
     held = some.join(files.select("repo", "path", "content"), ["repo", "path"]).withColumn("content", blank("content", "function", "target_class")).where("content is not null")
-    name = F.concat_ws(".", F.nullif("target_class", F.lit("")), "function")
+    held = held.withColumn("test_command", test_command(F.col("test_selectors"), F.col("test_files"), full_command))
+    if check_baseline:
+        held = baseline_checked(held, files, timeout).where("baseline.ok")
+    else:
+        held = held.withColumn("baseline", F.struct(F.lit(True).alias("ok"), F.lit("").alias("output")))
+    owner = F.coalesce("target_class", F.lit(""))
     return held.select(
-        safe_id(F.concat_ws("_", "repo", F.regexp_replace("path", r"\.py$", ""), name)).alias("id"), F.lit("unit_completion").alias("source"), "repo",
-        F.concat(F.lit("Implement `"), name, F.lit("` in "), F.col("path"), F.lit(" so the existing tests pass.")).alias("task"), F.col("path").alias("target_file"), F.col("function").alias("target_symbol"),
-        test_command(F.col("test_selectors"), F.col("test_files")).alias("test_command"), "test_files", "test_selectors", "confidence", F.col("module").alias("original_module"), "original_import", "target_class", "content",
+        safe_id(F.concat(F.lit("unit_"), F.col("module"), F.lit("_"), owner, F.lit("_"), F.col("function"))).alias("id"), F.lit("unit_completion").alias("source"), "repo",
+        F.concat(F.lit("Complete `"), F.col("function"), F.lit("` in `"), F.col("path"), F.lit("` so the existing unit tests pass.")).alias("task"), F.col("path").alias("target_file"), F.col("function").alias("target_symbol"),
+        "test_command", "test_files", "test_selectors", "confidence", F.col("module").alias("original_module"), "original_import", F.lit(full_command).alias("full_test_command"), F.lit(check_baseline).alias("baseline_checked"),
+        F.col("baseline.ok").alias("baseline_ok"), F.col("test_command").alias("baseline_command"), F.nullif(F.substring(compact(F.col("baseline.output")), 1, 500), F.lit("")).alias("baseline_output_excerpt"),
+        F.nullif("target_class", F.lit("")).alias("target_class"), "content",
     )

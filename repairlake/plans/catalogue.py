@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import diffs, paths, text
-from ..operators import cards, evaluation, exports, manifests, policy, scoring, selection, tasks, traces
+from ..operators import cards, evaluation, experiments, exports, manifests, policy, scoring, selection, tasks, traces
 from ..sources.landing import landed
 from . import fixtures as fx
 
@@ -237,6 +237,41 @@ def shard_losses(spark, sf_dir):
     return evaluation.shard_losses(e).withColumn("val_loss_avg", F.round("val_loss_avg", 6))
 
 
+@query(
+    """
+WITH m(model) AS (VALUES ('en'), ('de'), ('none')), j AS (SELECT lang AS model, CASE WHEN d.doc_id % 2 = 0 THEN 'humaneval' ELSE 'mbpp' END AS bench, (d.doc_id // 4) AS task_id, d.doc_id % 4 // 2 AS shard, quality = 1 AS ok FROM documents d JOIN labels USING (doc_id)),
+f AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY model, bench, task_id ORDER BY shard) = 1),
+l AS (SELECT lang AS model, round(avg(n_chars), 6) AS val_loss_avg, count(*) AS shards FROM documents GROUP BY 1)
+SELECT model, max(val_loss_avg) AS val_loss_avg, coalesce(max(shards), 0) AS shards, count(task_id) FILTER (bench = 'humaneval') AS humaneval_total, count(*) FILTER (bench = 'humaneval' AND ok) AS humaneval_passed,
+  coalesce(count(*) FILTER (bench = 'humaneval' AND ok) / nullif(count(*) FILTER (bench = 'humaneval'), 0), 0) AS humaneval_pass_at_1, count(task_id) FILTER (bench = 'mbpp') AS mbpp_total, count(*) FILTER (bench = 'mbpp' AND ok) AS mbpp_passed,
+  coalesce(count(*) FILTER (bench = 'mbpp' AND ok) / nullif(count(*) FILTER (bench = 'mbpp'), 0), 0) AS mbpp_pass_at_1
+FROM m LEFT JOIN l USING (model) LEFT JOIN f USING (model) GROUP BY model
+"""
+)
+def ab_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("model"), "n_chars")
+    rows = d.join(table(spark, sf_dir, "labels"), "doc_id")
+    results = rows.select("model", F.when(F.col("doc_id") % 2 == 0, "humaneval").otherwise("mbpp").alias("bench"), F.expr("doc_id div 4").alias("task_id"), F.expr("doc_id % 4 div 2").alias("shard"), F.col("doc_id").alias("seq"), (F.col("quality") == 1).alias("ok"))
+    return experiments.ab_summary(d.select("model", F.col("n_chars").cast("double").alias("val_loss")), results, ("en", "de", "none")).withColumn("val_loss_avg", F.round("val_loss_avg", 6))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('split:' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER () * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM documents")
+def exact_split(spark, sf_dir):
+    return experiments.split(table(spark, sf_dir, "documents").select("doc_id"), 0.1, "doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE i % 2 = 0")
+def to_evaluate(spark, sf_dir):
+    return experiments.to_evaluate(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), 0, 2, "doc_id", key="doc_id")
+
+
+@query()
+def experiment(spark, sf_dir):
+    both = shaped_records(spark, sf_dir).withColumn("repo", F.lit("acme/tool"))
+    made = experiments.build(landed(both.withColumn("seq", F.col("id")), "records"), 50, 0.5)
+    return made["summary"]
+
+
 # --- selection ---
 
 CARD_SQL = RESULTS_SQL + """, c AS (SELECT doc_id, source, n_chars, (CASE WHEN quality IS NULL THEN 0 WHEN quality = 1 THEN 3 ELSE 1 END)::DOUBLE AS score, (n_chars % 5)::INT AS n_source, (n_chars % 14)::INT AS n_test,
@@ -725,7 +760,7 @@ def ast_refs(spark, sf_dir):
 @query()
 def completion_tasks(spark, sf_dir):
     files = fx.relation(spark, TREE, "repo string, path string, content string")
-    return tasks.completion_tasks(files, tasks.completion_targets(files, methods=True)).select("id", "target_file", "target_symbol", "target_class", "test_command", "content")
+    return tasks.completion_tasks(files, tasks.completion_targets(files, methods=True), check_baseline=False).select("id", "target_file", "target_symbol", "target_class", "test_command", "content")
 
 
 @query()
