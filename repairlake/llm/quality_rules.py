@@ -7,7 +7,8 @@ too many of its words to them is rejected, as is one that fails the base counts
   are symbols of ``[#*$%&|<>]``, or over a third of its words end in two exclamation marks;
 * navigation: it holds at least two separators (``|``, ``>>``, ``::``) as words of their own and they are
   at least a quarter of its words;
-* boilerplate: it holds a stock phrase of web pages, or over half of its words equal the word before.
+* boilerplate: stock phrases of web pages (in four languages) make up at least a fifth of its words, or over
+  half of its words equal the word before. A phrase in a long line of prose fails nothing.
 
 Defined cases: a null or empty text has no words, fails the base rule and is rejected. Lines without a
 word are neither judged nor counted. Rows are judged one by one, so repeated rows, ties, null ids and
@@ -45,7 +46,21 @@ PHRASES = (
     "skip to content",
     "share this page",
     "powered by",
+    "alle rechte vorbehalten",
+    "hier klicken",
+    "zum newsletter anmelden",
+    "verwendet cookies",
+    "tous droits réservés",
+    "cliquez ici",
+    "abonnez-vous à notre",
+    "utilise des cookies",
+    "todos los derechos reservados",
+    "haga clic aquí",
+    "suscríbase a nuestro",
+    "utiliza cookies",
 )
+#: Words of a line for each word of stock phrases in it, from which on it passes.
+PHRASE_SHARE = 5
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A document that loses over this share of its words with failing lines is rejected.
@@ -58,6 +73,7 @@ SCHEMA = (
 )
 
 _BOILERPLATE = re.compile("|".join(re.escape(p) for p in PHRASES).encode())
+_PHRASES = [(p.encode(), len(p.split())) for p in PHRASES]
 _SYMBOL = re.compile(f"[{re.escape(SYMBOLS)}]".encode())
 _SHOUT = re.compile(rb"!!(?![^\x20\x09-\x0D])")
 _CLOSED = re.compile(rf"[{re.escape(CLOSING)}](?![^\x20\x09-\x0D])".encode())
@@ -74,7 +90,9 @@ def line_faults(line: bytes, words: list[bytes]) -> tuple[bool, bool, bool]:
     )
     apart = sum(w in _SEPARATORS for w in words) if b"|" in line or b">>" in line or b"::" in line else 0
     stutter = 2 * sum(map(eq, words, words[1:])) > n
-    return punctuation, apart >= 2 and 4 * apart >= n, stutter or bool(_BOILERPLATE.search(line.lower()))
+    low = line.lower()
+    stock = sum(low.count(p) * k for p, k in _PHRASES) if _BOILERPLATE.search(low) else 0
+    return punctuation, apart >= 2 and 4 * apart >= n, stutter or (stock > 0 and PHRASE_SHARE * stock >= n)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:

@@ -23,6 +23,8 @@ def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
+#: Words of stock phrases in a line.
+_STOCK_SQL = " + ".join(f"(length(low) - length(replace(low, {_sql_list([p])}, ''))) // {len(p)} * {len(p.split())}" for p in quality_rules.PHRASES)
 OP1_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, {SQL_WORD}) AS w FROM d),
@@ -38,7 +40,7 @@ faults AS (
     len(list_filter(lw, lambda x: x IN ({_sql_list(quality_rules.SEPARATORS)}))) >= 2
       AND 4 * len(list_filter(lw, lambda x: x IN ({_sql_list(quality_rules.SEPARATORS)}))) >= len(lw) AS navigation,
     2 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) > len(lw)
-      OR {" OR ".join(f"contains(low, {_sql_list([p])})" for p in quality_rules.PHRASES)} AS boilerplate
+      OR ({_STOCK_SQL} > 0 AND {quality_rules.PHRASE_SHARE} * ({_STOCK_SQL}) >= len(lw)) AS boilerplate
   FROM lines WHERE len(lw) > 0),
 by_line AS (
   SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
