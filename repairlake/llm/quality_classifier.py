@@ -7,8 +7,8 @@ indicator is scaled by its class log-count ratio, a linear hinge-loss model is f
 coordinate descent, and its weights are drawn towards their mean size (the interpolation of the method).
 Margins of three folds that a model has not seen give the logistic curve that turns a margin into a score.
 
-The model is fitted on at most MAX_TRAIN labelled documents, those first in the order of a hash of doc_id;
-it has a fixed size and is broadcast. Scoring reads whole texts in one pass.
+The model is fitted on at most MAX_TRAIN labelled documents, those first in the order of a hash of doc_id, and of
+a doc_id on one of its rows whose text has at most MAX_BYTES, so that what the driver holds is bounded; it has a fixed size and is broadcast. Scoring reads whole texts in one pass.
 
 Defined cases: null and empty texts have no indicator and get the score of the bias alone. Labels that are
 null or whose document is missing teach nothing; several labels of one doc_id count as the smallest. With
@@ -26,7 +26,7 @@ from .common import arrow_map
 from .wordhash import Batch, groups_of, ngrams
 
 PLACES_BITS = 17
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_BYTES = 3000, 1 << 18
 ALPHA, C, MIXED, EPOCHS, FOLDS = 1.0, 0.05, 0.5, 12, 3
 
 _KIND = np.zeros(256, np.int64)
@@ -186,11 +186,13 @@ def split_remainder(doc_id) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of the first labelled documents outside the held-out part, at most so many of either class together."""
+    """(doc_id, text, y) of the first labelled documents outside the held-out part, at most so many of either class
+    together: of each doc_id one row, of texts of at most MAX_BYTES the one whose hash is smallest."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).cast("int").alias("y"))
     taught = known.where(split_remainder(F.col("doc_id")) != 2)
     order = taught.orderBy(F.xxhash64(F.col("doc_id"), F.lit(column)), "doc_id").limit(most)  # a bounded sample
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(order), "doc_id")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES)
+    return mine.join(F.broadcast(order), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = MAX_TRAIN):

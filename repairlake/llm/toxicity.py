@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is the embedding of the word (hashed to 2^15 places, ASCII letters in lower case, punctuation
-around it taken off) beside the sum of three character embeddings (its first 4, first 6 and last 4 bytes).
+around it taken off) beside that of its characters: the embeddings of all runs of four bytes of the word with a
+mark before and after it (2^15 places), added and divided by the root of their number. No part of a word is left out.
 Windows of 32 words, each overlapping the next by half, go through a gated recurrent unit in either
 direction; attention weighs the states of a window, and a linear unit gives its logit. All windows of
 the whole text are scored, the last one ending with the text; a document's logit is its greatest.
@@ -10,7 +11,8 @@ Training sees documents' labels only: the greatest window of a toxic document is
 greatest and a random one of a clean document as clean, so that the network finds which windows matter.
 Embeddings start with the log-odds of their place. A fifth of the training documents sets the logistic
 curve from logit to score. At most MAX_TOXIC and MAX_CLEAN labelled documents are used, those first in
-the order of a hash of doc_id; the network has a fixed size and is broadcast.
+the order of a hash of doc_id, and of a doc_id the first of its rows whose text has at most MAX_BYTES, so that
+what the driver holds is bounded; the network has a fixed size and is broadcast.
 
 Defined cases: null and empty texts, or those without words, have score 0. A text shorter than a window is
 one shorter window. Labels that are null or whose document is missing teach nothing; several labels of one
@@ -29,6 +31,8 @@ from .quality_classifier import Share, labelled, logistic_curve, split_remainder
 from .wordhash import Batch, groups_of, hash_spans
 
 PLACES = 1 << 15
+#: Bytes of a run of characters.
+RUN = 4
 SPAN, STRIDE = 32, 16
 HIDDEN, ATTEND, SIDE = 8, 8, 4
 MAX_TOXIC, MAX_CLEAN = 1000, 2000
@@ -39,8 +43,36 @@ _MARK = np.zeros(256, bool)
 _MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
+class Words:
+    """The words of texts, one after another: the place of each, how many runs of RUN bytes it has, and their places."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, grams: np.ndarray):
+        self.word, self.count, self.grams = word, count, grams
+        self.first = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))[:-1] if len(count) else np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    @staticmethod
+    def joined(some: list[Words]) -> Words:
+        if not some:
+            return Words(np.zeros(0, np.uint16), np.zeros(0, np.int32), np.zeros(0, np.uint16))
+        return Words(*(np.concatenate([getattr(x, c) for x in some]) for c in ("word", "count", "grams")))
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the runs of the words at these indices, and where each word's begin."""
+        n = self.count[at].astype(np.int64)
+        begin = np.cumsum(n) - n
+        return self.grams[np.repeat(self.first[at] - begin, n) + np.arange(int(n.sum()))], begin
+
+
+def _place(h: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(49)).astype(np.uint16)
+
+
 def word_inputs(texts: list[str | None]):
-    """For each text its (words, 4) places: the word, and its first 4, first 6 and last 4 bytes."""
+    """The Words of each text."""
     raws = [(t or "").encode().translate(_LOWER) for t in texts]
     for i, j in groups_of(raws):
         batch = Batch(raws[i:j])
@@ -49,12 +81,20 @@ def word_inputs(texts: list[str | None]):
             if len(s):
                 e -= _MARK[batch.raw[e - 1]] & (e - s > 1)
                 s += _MARK[batch.raw[s]] & (e - s > 1)
-        spans = ((s, e), (s, np.minimum(s + 4, e)), (s, np.minimum(s + 6, e)), (np.maximum(e - 4, s), e))
-        salt = np.array([1, 3, 5, 7], np.uint64)
-        with np.errstate(over="ignore"):
-            places = np.stack([(hash_spans(batch.raw, a, b) * k >> np.uint64(49)).astype(np.int32) for (a, b), k in zip(spans, salt, strict=True)], 1)
+        word = _place(hash_spans(batch.raw, s, e), 1)
+        count = np.maximum(e - s + 2 - RUN + 1, 1)  # with a mark before and after the word
+        first = np.cumsum(count) - count
+        at = np.repeat(s - 1 - first, count) + np.arange(int(count.sum()))
+        begin, end, raw = np.repeat(s, count), np.repeat(e, count), np.concatenate((batch.raw, np.zeros(RUN, np.uint8)))
+        value = np.zeros(len(at), np.uint64)
+        for k in range(RUN):
+            byte = np.where(at + k < begin, 1, np.where(at + k < end, raw[at + k], np.where(at + k == end, 2, 0)))
+            value = value << np.uint64(8) | byte.astype(np.uint64)
+        grams = _place(value, 3)
+        ends = np.concatenate((first, [len(grams)]))
         for d in range(j - i):
-            yield places[batch.first[d] : batch.stop[d]]
+            a, z = batch.first[d], batch.stop[d]
+            yield Words(word[a:z], count[a:z].astype(np.int32), grams[ends[a] : ends[z]])
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -77,10 +117,15 @@ class Network:
             self.p |= {f"wx{side}": draw(d, 3 * h), f"wh{side}": draw(h, 3 * h), f"bx{side}": np.zeros(3 * h, np.float32)}
         self.curve = (1.0, 0.0)
 
-    def inputs(self, places: np.ndarray) -> np.ndarray:
-        """(..., 4) places to (..., 2 * SIDE) inputs."""
-        c = self.p["char"]
-        return np.concatenate([self.p["word"][places[..., 0]], c[places[..., 1]] + c[places[..., 2]] + c[places[..., 3]]], -1)
+    def inputs(self, words: Words, block: int = 100_000) -> np.ndarray:
+        """(words, 2 * SIDE) inputs of all words."""
+        out = np.empty((len(words), 2 * SIDE), np.float32)
+        for i in range(0, len(words), block):
+            at = np.arange(i, min(i + block, len(words)))
+            grams, begin = words.runs(at)
+            out[at, :SIDE] = self.p["word"][words.word[at]]
+            out[at, SIDE:] = np.add.reduceat(self.p["char"][grams], begin, axis=0) / np.sqrt(words.count[at, None], dtype=np.float32)
+        return out
 
     def _unit(self, g: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """States (steps, batch, HIDDEN) of one direction over the inputs' gates (steps, batch, 3 * HIDDEN)."""
@@ -142,8 +187,8 @@ class Network:
             d_x += d_in @ p[f"wx{s}"].T
         return g, d_x
 
-    def document_logits(self, texts: list[np.ndarray], block: int = 2048) -> np.ndarray:
-        """The greatest window logit of each text (its places); -inf where it has no words."""
+    def document_logits(self, texts: list[Words], block: int = 2048) -> np.ndarray:
+        """The greatest window logit of each text; -inf where it has no words."""
         out = np.full(len(texts), -np.inf)
         full, short = [], {}
         first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -156,31 +201,39 @@ class Network:
         jobs += [(n, np.array(ds), first[ds]) for n, ds in short.items()]
         if not jobs:
             return out
-        x = self.inputs(np.concatenate(texts))
+        x = self.inputs(Words.joined(texts))
         for steps, doc, start in jobs:
             for i in range(0, len(doc), block):
                 at = start[i : i + block][None, :] + np.arange(steps)[:, None]
                 np.maximum.at(out, doc[i : i + block], self.logits(x[at]).astype(np.float64))
         return out
 
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
+    def scores(self, texts: list[Words]) -> np.ndarray:
         """0 where a text has no words."""
         m = self.document_logits(texts)
         return np.where(np.isfinite(m), 1 / (1 + np.exp(-np.clip(self.curve[0] * np.where(np.isfinite(m), m, 0) + self.curve[1], -40, 40))), 0.0)
 
 
-def _start_embeddings(net: Network, texts: list[np.ndarray], y: np.ndarray) -> None:
+def _start_embeddings(net: Network, texts: list[Words], y: np.ndarray) -> None:
     """The first component of each embedding: the log-odds of toxic documents among those that hold its place."""
-    for name, columns in (("word", (0,)), ("char", (1, 2, 3))):
+    for name, of, weight in (("word", "word", 1.0), ("char", "grams", 0.5)):
         n = np.zeros((2, PLACES))
         for t, label in zip(texts, y.tolist(), strict=True):
-            n[label, np.unique(t[:, list(columns)])] += 1
+            n[label, np.unique(getattr(t, of))] += 1
         share = (n + 1) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 2)
         odds = np.clip(np.log(share[1] / share[0]), -1, 4) * (n.sum(0) >= 3)
-        net.p[name][:, 0] += odds.astype(np.float32) * (1.0 if name == "word" else 0.4)
+        net.p[name][:, 0] += odds.astype(np.float32) * weight
+
 
+def _scatter(net: Network, squares: dict, name: str, places: np.ndarray, grads: np.ndarray) -> None:
+    """One adaptive step of the embeddings at places."""
+    rows, back = np.unique(places, return_inverse=True)
+    total = np.stack([np.bincount(back, grads[:, c], len(rows)) for c in range(SIDE)], 1).astype(np.float32)
+    squares[name][rows] += (total * total).mean(1)
+    net.p[name][rows] -= 0.02 * total / np.sqrt(squares[name][rows])[:, None]
 
-def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0):
+
+def fit(texts: list[Words], y: np.ndarray, epochs: int = EPOCHS, seed: int = 0):
     y = np.asarray(y, np.int64)
     some = [i for i, t in enumerate(texts) if len(t)]
     texts, y = [texts[i] for i in some], y[some]
@@ -192,34 +245,42 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
     own = np.setdiff1d(order, apart)
     net = Network(seed)
     _start_embeddings(net, [texts[i] for i in own], y[own])
-    padded = [t if len(t) >= SPAN else np.concatenate([t] * -(-SPAN // len(t)))[:SPAN] for t in texts]
-    starts = [window_starts(len(t)) for t in padded]
+    words = Words.joined(texts)
+    size = np.array([len(t) for t in texts])
+    base = np.cumsum(size) - size
+    starts = [window_starts(n) for n in size.tolist()]
+
+    def window(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(SPAN, windows) indices of words; a text shorter than a window goes round."""
+        return base[doc] + (at + np.arange(SPAN)[:, None]) % size[doc]
+
     first = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("word", "char")}
     squares = {k: np.full(len(net.p[k]), 1e-3, np.float32) for k in ("word", "char")}
     step = 0
     balance = np.where(y == 1, 0.5 / (y[own] == 1).mean(), 0.5 / (y[own] == 0).mean())
+    doc = np.concatenate([np.full(len(starts[i]), i) for i in own])
+    at = np.concatenate([starts[i] for i in own])
+    begin = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
     for _ in range(epochs):
-        doc = np.concatenate([np.full(len(starts[i]), i) for i in own])
-        at = np.concatenate([starts[i] for i in own])
-        value = np.empty(len(doc), np.float32)
+        value, x = np.empty(len(doc), np.float32), net.inputs(words)
         for i in range(0, len(doc), 2048):
-            take = np.stack([padded[d][s : s + SPAN] for d, s in zip(doc[i : i + 2048].tolist(), at[i : i + 2048].tolist(), strict=True)], 1)
-            value[i : i + 2048] = net.logits(net.inputs(take))
+            value[i : i + 2048] = net.logits(x[window(doc[i : i + 2048], at[i : i + 2048])])
         chosen: list[tuple[int, int]] = []
-        begin = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             chosen.append((int(doc[a]), int(at[a + int(value[a:b].argmax())])))
             if y[doc[a]] == 0:
                 chosen.append((int(doc[a]), int(at[rng.integers(a, b)])))
+        rng.shuffle(chosen)
         for i in range(0, len(chosen), MINI):
-            if i == 0:
-                rng.shuffle(chosen)
-            part = chosen[i : i + MINI]
-            places = np.stack([padded[d][s : s + SPAN] for d, s in part], 1)
-            label = y[[d for d, _ in part]]
+            part = np.array(chosen[i : i + MINI])
+            its = window(part[:, 0], part[:, 1])
+            flat = its.ravel()
+            grams, runs = words.runs(flat)
+            root = np.sqrt(words.count[flat], dtype=np.float32)[:, None]
+            taken = np.concatenate([net.p["word"][words.word[flat]], np.add.reduceat(net.p["char"][grams], runs, axis=0) / root], 1)
             keep: dict = {}
-            out = net.logits(net.inputs(places), keep)
-            up = ((_sigmoid(out) - label) * balance[[d for d, _ in part]] / len(part)).astype(np.float32)
+            out = net.logits(taken.reshape(*its.shape, -1), keep)
+            up = ((_sigmoid(out) - y[part[:, 0]]) * balance[part[:, 0]] / len(part)).astype(np.float32)
             grads, d_x = net.backward(keep, up)
             step += 1
             for k, g in grads.items():
@@ -227,13 +288,9 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 net.p[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            for k, columns, side in (("word", (0,), slice(0, SIDE)), ("char", (1, 2, 3), slice(SIDE, 2 * SIDE))):
-                flat = places[..., list(columns)].reshape(-1)
-                g = np.repeat(d_x[..., side].reshape(-1, SIDE), len(columns), axis=0)
-                rows, back = np.unique(flat, return_inverse=True)
-                total = np.stack([np.bincount(back, g[:, c], len(rows)) for c in range(SIDE)], 1).astype(np.float32)
-                squares[k][rows] += (total * total).mean(1)
-                net.p[k][rows] -= 0.02 * total / np.sqrt(squares[k][rows])[:, None]
+            d_x = d_x.reshape(len(flat), -1)
+            _scatter(net, squares, "word", words.word[flat], d_x[:, :SIDE])
+            _scatter(net, squares, "char", grams, np.repeat(d_x[:, SIDE:] / root, words.count[flat], axis=0))
     judge = apart if len(apart) and len(set(y[apart].tolist())) == 2 else own
     net.curve = logistic_curve(net.document_logits([texts[i] for i in judge]), y[judge])
     return net
@@ -241,14 +298,15 @@ def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic"):
     def rows(b: dict) -> dict:
-        return {"doc_id": b["doc_id"], "y": b["y"], "places": [p.tobytes() for p in word_inputs(b["text"])]}
+        some = list(word_inputs(b["text"]))
+        return {"doc_id": b["doc_id"], "y": b["y"], **{c: [getattr(w, c).tobytes() for w in some] for c in ("word", "count", "grams")}}
 
     got = []
     for of, most in ((0, MAX_CLEAN), (1, MAX_TOXIC)):
         some = labelled(docs, labels.where(F.col(column) == of), column, most)
-        got += arrow_map(some, rows, "doc_id long, y int, places binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.y, len(r.places)))
-    return fit([np.frombuffer(r.places, np.int32).reshape(-1, 4) for r in got], np.array([r.y for r in got]))
+        got += arrow_map(some, rows, "doc_id long, y int, word binary, count binary, grams binary").collect()
+    got.sort(key=lambda r: (r.doc_id, r.y, len(r.word)))
+    return fit([Words(np.frombuffer(r.word, np.uint16), np.frombuffer(r["count"], np.int32), np.frombuffer(r.grams, np.uint16)) for r in got], np.array([r.y for r in got]))
 
 
 def score_documents(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:

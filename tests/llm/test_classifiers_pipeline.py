@@ -66,11 +66,25 @@ def test_gradients():
 def test_every_window_counts():
     assert toxicity.window_starts(10).tolist() == [0] and toxicity.window_starts(70).tolist() == [0, 16, 32, 38]
     net = toxicity.Network(0)
-    text = np.random.default_rng(1).integers(0, toxicity.PLACES, (70, 4)).astype(np.int32)
-    each = [net.logits(net.inputs(text[s : s + 32])[:, None, :])[0] for s in (0, 16, 32, 38)]
+    (text,) = toxicity.word_inputs([" ".join(f"word{i * 37 % 11}x{i}" for i in range(70))])
+    x = net.inputs(text)
+    each = [net.logits(x[s : s + 32][:, None, :])[0] for s in (0, 16, 32, 38)]
     assert net.document_logits([text])[0] == pytest.approx(max(each), rel=1e-4)
 
 
+def test_all_characters_of_a_word_count():
+    """Runs of four bytes with a mark at either end, of words of any length, and the sum of their embeddings."""
+    texts = ["a ab (Straßenbahnhaltestellenschild) x", None, "", " " + "y" * 300]
+    got = list(toxicity.word_inputs(texts))
+    assert [t.count.tolist() for t in got] == [[1, 1, 29, 1], [], [], [299]]
+    other = list(toxicity.word_inputs(["a ab straßenbahnhalteStellenschilt X"]))[0]
+    assert (got[0].word == other.word).tolist() == [True, True, False, True] and (got[0].grams != other.grams).sum() == 2  # those with the last byte
+    net = toxicity.Network(0)
+    first = got[0].first[2]
+    want = net.p["char"][got[0].grams[first : first + 29]].sum(0) / np.sqrt(29)
+    assert net.inputs(got[0], block=3)[2, toxicity.SIDE :] == pytest.approx(want, rel=1e-4)
+
+
 def test_pipeline_stages_are_whole(spark):
     """Stage by stage against brute force, each on its own input."""
     import corpus_pipeline
