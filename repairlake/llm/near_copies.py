@@ -8,9 +8,11 @@ classes and do not meet. Each candidate pair is then verified: first by parities
 bit; more odd bits than the similarity allows differences rule a pair out, and never wrongly), then on all
 shingles. Only verified pairs link.
 
-Under a hot key the leader is compared with all first, then, while there is much left to compare under keys that
-one component fills to a quarter, up to TURNS further leaders with what is not yet in theirs; at last all that is not in a key's largest component
-is compared with all of the key. So a dense group gives a few stars and not all its pairs, and no candidate is left out.
+A key of HOT or more documents has a leader, the one with the most copies. Documents within reach of the leader
+are compared with it alone first. Under such a key, those that are then not in the key's largest component are
+compared with all near the leader, block by block, and only pairs that parities do not rule out leave a block.
+All other pairs under a key meet in a join. So a dense group gives a star and few of its pairs, and no
+candidate is left out.
 
 What is missed are pairs whose fingerprints are further apart (README has the measured share). Equal sets
 of shingles are one node. Shingles are compared as 64-bit hashes. A null or empty text has no shingles,
@@ -23,17 +25,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, split_by, staged
 from .components import components
-from .simhash import _LOWER, KEY, kept_rows, light_and_heavy, make_plan, rest_of_hot, starred
+from .simhash import _LOWER, KEY, Plan, apart, fitting, kept_rows, lookups, make_plan
 from .wordhash import Batch, groups_of, ngrams
 
 SHINGLE, PERCENT, MAX_BITS = 5, 80, 10
-#: Further leaders at most, while over ENOUGH comparisons are left under dense hot keys.
-TURNS, ENOUGH = 4, 20_000_000
+#: Documents from which on a key has a leader, and the rows of a block.
+HOT, BLOCK = 256, 2048
 _U = np.uint64
 
 
@@ -129,37 +132,72 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return staged(met.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b"), "links")
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): pairs of nodes of at least that similarity, whose components are those of all such candidates."""
-    check = lambda pairs: verified(pairs, docs, nodes, percent, shingle)
-    plan, hot = make_plan(nodes.select("node", "fp", "size", "cls", "w"), max_bits, spread=2)
-    met, heavy = light_and_heavy(nodes, plan, hot, percent)
+def met_and_near(nodes: DataFrame, plan: Plan, hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """met: (a, b) nodes that may be similar and meet under a key, but for two that are both near its leader. near: the
+    latter (KEY, node, fp, size, lead), staged."""
+    marked = []
+    for probing in (False, True):
+        rows = lookups(nodes, plan, probing).join(hot, KEY, "left").withColumns({"lead_fp": F.col("lead.fp"), "lead_size": F.col("lead.size")})
+        near = F.coalesce((apart("fp", "lead_fp") <= plan.max_bits) & fitting("size", "lead_size", percent), F.lit(False))
+        marked.append(rows.withColumn("near", near).drop("lead_fp", "lead_size", "w"))
+    index, probes = marked
+    # those near a leader meet only those that are not; side says which of the two are asked for
+    one, both = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
+    q = probes.withColumn("side", F.explode(F.when(F.col("lead").isNotNull() & ~F.col("near"), both).otherwise(one)))
+    i = index.withColumn("side", F.col("near"))
+    named = lambda df, s: df.select(*KEY, "side", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "size")])
+    within = (apart("a_fp", "b_fp") <= plan.max_bits) & fitting("a_size", "b_size", percent) & (F.col("a_node") != F.col("b_node"))
+    met = named(q, "a").join(named(i, "b"), [*KEY, "side"]).where(within).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    near = index.unionByName(probes).where("near").dropDuplicates([*KEY, "node"]).drop("near")
+    return met, staged(near, "near")
+
+
+def blockwise(rows: DataFrame, nodes: DataFrame, max_bits: int, percent: int) -> DataFrame:
+    """(a, b): pairs under a key of rows (KEY, node, root, done), not both done and of different roots, that fingerprints
+    and parities allow to be similar. Rows of a key are dealt into blocks, and each pair of blocks is a group."""
+    of_key = rows.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(of_key, KEY).join(nodes.select("node", "fp", "size", "odd"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    carried = [*KEY, "node", "root", "done", "fp", "size", "odd"]
+    x = dealt.where("not done").select(*carried, F.col("own").alias("xb"), other.alias("yb"), F.lit(True).alias("asks"))
+    y = dealt.select(*carried, F.col("own").alias("yb"), other.alias("xb"), F.lit(False).alias("asks"))
+
+    def solve(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy()
+        got = {c: group.column(c).to_numpy() for c in ("node", "root", "fp", "size")}
+        odd = np.array(group.column("odd").to_pylist(), object)
+        xi, yi = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out: tuple[list, list] = ([], [])
+        for at in range(0, len(xi), 128):
+            i = xi[at : at + 128]
+            near = (np.bitwise_count((got["fp"][i][:, None] ^ got["fp"][yi][None]).view(np.uint64)) <= max_bits) & (got["root"][i][:, None] != got["root"][yi][None])
+            r, c = np.nonzero(near)
+            a, b = i[r], yi[c]
+            fine = differing_parities(odd[a].tolist(), odd[b].tolist()) * (100 + percent) <= (got["size"][a].astype(np.int64) + got["size"][b]) * (100 - percent)
+            out[0].append(got["node"][a[fine]])
+            out[1].append(got["node"][b[fine]])
+        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return x.unionByName(y).groupBy(*KEY, "xb", "yb").applyInArrow(solve, "a long, b long").distinct()
 
-    def star(rows: DataFrame) -> DataFrame:
-        near = starred(rows, max_bits, percent).where(F.col("near") & (F.col("node") != F.col("lead.node")))
-        return near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
 
-    asked = staged(met.unionByName(star(heavy)).distinct(), "asked")
-    found = check(asked)
-    if heavy.isEmpty():
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): pairs of nodes of at least that similarity, whose components are those of all such candidates."""
+    plan, hot = make_plan(nodes.select("node", "fp", "size", "cls", "w"), max_bits, spread=2, hot=HOT)
+    met, near = met_and_near(nodes, plan, hot, percent)
+    star = near.where(F.col("node") != F.col("lead.node")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+    asked = staged(met.unionByName(star).distinct(), "asked")
+    found = verified(asked, docs, nodes, percent, shingle)
+    if near.isEmpty():
         return found
-    for turn in range(TURNS + 1):
-        rooted = staged(heavy.drop("lead").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        sample = F.min_by(F.struct("node", "fp", "size", "root"), F.xxhash64(F.lit(turn), "node")).alias("lead")
-        by_root = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n"), sample)
-        main = by_root.groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
-        main = staged(main, "open-keys")
-        dense = main.where("4 * most >= n")  # in the others one more leader would say little
-        left = dense.agg(F.sum(F.expr("(n - most) * n")).alias("left")).first().left or 0
-        if turn == TURNS or left <= ENOUGH:
-            break
-        lead = by_root.join(dense.select(*KEY, "main"), KEY).where("root <> main").groupBy(*KEY).agg(F.max_by("lead", F.struct("n", "root")).alias("lead"))
-        more = staged(star(rooted.join(lead, KEY).where("root <> lead.root")).distinct().join(asked, ["a", "b"], "left_anti"), "asked")
-        asked = asked.unionByName(more)
-        found = found.unionByName(check(more))
-    done = rooted.join(main, KEY).select(*KEY, "node", "fp", (F.col("root") == F.col("main")).alias("done"))
-    rest = rest_of_hot(done, plan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.unionByName(check(rest.distinct().join(asked, ["a", "b"], "left_anti")))
+    rooted = staged(near.select(*KEY, "node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    by_root = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    open_keys = staged(by_root.where("roots > 1").drop("roots"), "open-keys")
+    rest = rooted.join(open_keys, KEY).select(*KEY, "node", "root", (F.col("root") == F.col("main")).alias("done"))
+    left = staged(blockwise(rest, nodes, max_bits, percent).join(asked, ["a", "b"], "left_anti"), "asked")
+    return found.unionByName(verified(left, docs, nodes, percent, shingle))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

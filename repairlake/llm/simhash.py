@@ -225,7 +225,7 @@ def lookups(nodes: DataFrame, plan: Plan, probing: bool) -> DataFrame:
     return arrow_map(nodes.select("node", "fp", "size", "cls", "w"), rows, ROWS, at_once=5_000)
 
 
-def make_plan(nodes: DataFrame, max_bits: int = MAX_BITS, parts: int | None = None, spread: int = 1) -> tuple[Plan, DataFrame]:
+def make_plan(nodes: DataFrame, max_bits: int = MAX_BITS, parts: int | None = None, spread: int = 1, hot: int = HOT) -> tuple[Plan, DataFrame]:
     """The plan for nodes (the columns of NODE) and the hot keys (part, bits, cls, lead)."""
     both, n = joint_bits(nodes)
     classes = {r.cls: r.k for r in nodes.groupBy("cls").agg(F.count("*").alias("k")).collect()}
@@ -241,7 +241,7 @@ def make_plan(nodes: DataFrame, max_bits: int = MAX_BITS, parts: int | None = No
     for r in by_key.groupBy("part", "bits").agg(F.sum("k").alias("k")).where(F.col("k") >= spread * max(16, -(-n // 4096))).collect():
         heavy[r.part].append((r.bits, r.k // spread))
     plan.heavy = [tuple(np.array([x[i] for x in sorted(h)], np.int64) for i in range(2)) for h in heavy]
-    found = staged(by_key.where(F.col("k") >= HOT).select(*KEY, "lead"), "hot")
+    found = staged(by_key.where(F.col("k") >= hot).select(*KEY, "lead"), "hot")
     unstage(by_key)
     return plan, found
 
@@ -250,30 +250,29 @@ def apart(x: str, y: str) -> F.Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def fitting(x: str, y: str, percent: int | None) -> F.Column:
+def fitting(x: str, y: str, percent: int) -> F.Column:
     """Whether sets of these sizes can have a Jaccard similarity of percent."""
-    return F.lit(True) if percent is None else F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select(*KEY, *more, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in KEY and c not in more])
 
 
-def light_and_heavy(nodes: DataFrame, plan: Plan, hot: DataFrame, percent: int | None = None) -> tuple[DataFrame, DataFrame]:
+def light_and_heavy(nodes: DataFrame, plan: Plan, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """light: (a, b) nodes within reach that meet under keys that are not hot. heavy: the rows of hot keys (KEY, node,
     fp, size, w, lead), staged."""
     marked = [lookups(nodes, plan, probing).join(hot, KEY, "left") for probing in (False, True)]
     i, q = (_side(m.where("lead is null").drop("lead"), s) for m, s in zip(marked, ("b", "a"), strict=True))
-    within = (apart("a_fp", "b_fp") <= plan.max_bits) & fitting("a_size", "b_size", percent) & (F.col("a_node") != F.col("b_node"))
+    within = (apart("a_fp", "b_fp") <= plan.max_bits) & (F.col("a_node") != F.col("b_node"))
     met = q.join(i, KEY).where(within).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     heavy = marked[0].unionByName(marked[1]).where("lead is not null").dropDuplicates([*KEY, "node"])
     return met, staged(heavy, "heavy")
 
 
-def starred(heavy: DataFrame, max_bits: int, percent: int | None = None) -> DataFrame:
+def starred(heavy: DataFrame, max_bits: int) -> DataFrame:
     """heavy with near: within reach of its key's leader (or the leader itself)."""
-    lead = heavy.withColumns({"lead_fp": F.col("lead.fp"), "lead_size": F.col("lead.size")})
-    return lead.withColumn("near", (apart("fp", "lead_fp") <= max_bits) & fitting("size", "lead_size", percent)).drop("lead_fp", "lead_size")
+    return heavy.withColumn("lead_fp", F.col("lead.fp")).withColumn("near", apart("fp", "lead_fp") <= max_bits).drop("lead_fp")
 
 
 def under_sub_keys(rows: DataFrame, plan: Plan) -> DataFrame:

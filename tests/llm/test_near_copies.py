@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 
-from repairlake.llm import near_copies, simhash
+from repairlake.llm import near_copies
 from repairlake.llm.common import table
 
 from .conftest import odd_rows
@@ -63,8 +63,9 @@ def test_stage_keeps_one_of_similar_documents(spark):
 
 
 def test_dense_groups_of_hot_keys(spark, monkeypatch):
-    """Many hot keys, several leaders and what they leave: the same as brute force."""
-    monkeypatch.setattr(simhash, "HOT", 8)
+    """Many hot keys, their leaders and what these leave, in several blocks: the same as brute force."""
+    monkeypatch.setattr(near_copies, "HOT", 8)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
     rng = random.Random(6)
     texts = []
     for g in range(4):
@@ -78,7 +79,6 @@ def test_dense_groups_of_hot_keys(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     want = brute_kept(rows)
     assert 20 < len(want) < 180
-    monkeypatch.setattr(near_copies, "ENOUGH", 1)
     assert kept(near_copies.keep_one(df)) == want
 
 
@@ -91,7 +91,7 @@ def test_parities_never_rule_out_wrongly():
         assert near_copies.differing_parities([near_copies.parities(a)], [near_copies.parities(b)])[0] <= len(np.setxor1d(a, b))
 
 
-def test_dense_group_and_bound(spark, monkeypatch):
+def test_dense_group_and_bound(spark):
     """A group whose members are partly below the bound to each other, chains, and pairs on both sides of it."""
     rng = random.Random(5)
     base = [f"b{i}" for i in range(150)]

@@ -33,6 +33,9 @@ def test_line_rules():
     assert faults("A clean sentence stands here.") == (False, False, False)
     assert faults("no mark at all here")[0] and faults("a%%% b*** c&&& d.")[0] and faults("STOP!! NOW!! PLEASE!!")[0]
     assert faults("Home | About | Contact.")[1] and faults("All rights reserved, 2020.")[2] and faults("go go go go stop.")[2]
+    assert faults("Tous droits réservés 2020.")[2] and faults("Click here or use cookies, click here.")[2]
+    prose = "a long sentence of prose that happens to say click here once and then goes on for some more words."
+    assert not faults(prose)[2] and faults("click here and click here, " + prose)[2]
 
 
 def test_rules_stage(odd, none):
