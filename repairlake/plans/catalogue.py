@@ -667,10 +667,10 @@ def wiki(spark, sf_dir):
     return cards.wiki(turn_records(spark, sf_dir)).select("id", F.col("wiki.source_context.issue_excerpt").alias("issue_excerpt"), F.array_join("files", ",").alias("files"))
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.CARDS, "id, card, overall, bug_fix_score"))
 def record_cards(spark, sf_dir):
     c = cards.repair_cards(fx.records(spark))
-    return c.select("id", F.to_json("repair_card").alias("card"), F.to_json("evidence").alias("evidence"), "quality.overall", "quality.bug_fix_score")
+    return c.select("id", F.to_json("repair_card").alias("card"), "quality.overall", "quality.bug_fix_score")
 
 
 def all_cards(spark, sf_dir):
@@ -732,7 +732,7 @@ def repair_corpus(spark, sf_dir):
     return exports.corpus_records(c, policy="semantic").select("id", "repo", "text", "metadata.*")
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.LLM_GROUNDING, "id, invalid, field_coverage, grounded_claims, total_claims, grounding_ok"))
 def llm_grounding(spark, sf_dir):
     c = cards.repair_cards(fx.records(spark))
     answer = F.lit('Here: {"root_cause": {"text": " wrong  index ", "evidence_ids": ["E1", "EX"]}, "failure_condition": {"text": "empty input", "evidence_ids": ["E1"]}, "edge_cases": [{"text": "", "evidence_ids": []}]}')
@@ -750,20 +750,20 @@ TREE = [
 ]
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.AST_REFS, "module, function, target_class, confidence, selectors"))
 def ast_refs(spark, sf_dir):
     files = fx.relation(spark, TREE, "repo string, path string, content string")
     r = tasks.reference_table(files)
     return r.select("module", "function", "target_class", "confidence", F.array_join("test_selectors", ",").alias("selectors"))
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.COMPLETION, "id, target_file, target_symbol, target_class, test_command, content"))
 def completion_tasks(spark, sf_dir):
     files = fx.relation(spark, TREE, "repo string, path string, content string")
     return tasks.completion_tasks(files, tasks.completion_targets(files, methods=True), check_baseline=False).select("id", "target_file", "target_symbol", "target_class", "test_command", "content")
 
 
-@query()
+@query("SELECT * FROM " + fx.sql_values(fx.UNIFIED_DIFF, "path, diff"))
 def unified_diff(spark, sf_dir):
     files = fx.relation(spark, TREE, "repo string, path string, content string").select("path", "content")
     return policy.workspace_diff(files, files.withColumn("content", F.replace("content", F.lit("return"), F.lit("yield"))))

@@ -48,6 +48,51 @@ RECORDS = [
 ]
 
 
+#: What queries over these relations give, worked out from the rules.
+AST_REFS = [
+    ("calc", "add", "", 1.0, "tests.test_calc.T.test_add"), ("calc", "_hidden", "", 1.0, "tests.test_calc.T.test_add"), ("calc.Box", "area", "", 0.9, "tests.test_calc.T.test_add"),
+    ("pkg.util", "slug", "", 0.9, "tests.test_calc.T.test_add"), ("calc", "Box", "", 1.0, "tests.test_calc.T.test_add"),
+]
+
+UNIFIED_DIFF = [
+    (
+        "calc.py",
+        '--- a/calc.py\n+++ b/calc.py\n@@ -1,12 +1,12 @@\n def add(a, b):\n     """Sum."""\n-    return a + b\n+    yield a + b\n \n \n def _hidden():\n-    return 1\n+    yield 1\n \n \n class Box:\n     def area(self):\n-        return 1\n+        yield 1',
+    ),
+    ("src/pkg/util.py", "--- a/src/pkg/util.py\n+++ b/src/pkg/util.py\n@@ -1,2 +1,2 @@\n def slug(x):\n-    return x.lower()\n+    yield x.lower()"),
+]
+
+#: Of two claims, one cites an id that is not there; without evidence, no id is.
+LLM_GROUNDING = [(f"acme_{i}", "EX", 0.4, 1, 2, False) for i in range(1, 5)] + [("unknown", "E1,EX", 0.4, 0, 2, False)]
+
+COMPLETION = [
+    ("unit_calc_Box_area", "calc.py", "area", "Box", "python3 -m unittest tests.test_calc.T.test_add", 'def add(a, b):\n    """Sum."""\n    return a + b\n\n\ndef _hidden():\n    return 1\n\n\nclass Box:\n    def area(self):\n        pass\n'),
+    ("unit_calc__add", "calc.py", "add", None, "python3 -m unittest tests.test_calc.T.test_add", 'def add(a, b):\n    """Sum."""\n    pass\n\n\ndef _hidden():\n    return 1\n\n\nclass Box:\n    def area(self):\n        return 1\n'),
+    ("unit_pkg.util__slug", "src/pkg/util.py", "slug", None, "python3 -m unittest tests.test_calc.T.test_add", "def slug(x):\n    pass\n"),
+]
+
+_VALIDATE = "Use the changed tests when available; otherwise run the relevant project test command."
+_NO_TEST = "No changed test evidence was found in the patch."
+
+
+def _card(symptom, seen, source, test, at, patch, patch_ids, oracle, test_ids) -> str:
+    import json
+
+    claim = lambda text, ids: {"text": text, "evidence_ids": ids}
+    made = {"symptom": claim(symptom, seen), "localization": {"source_files": source, "test_files": test, "evidence_ids": at}, "patch_intent": claim(patch, patch_ids), "test_oracle": claim(oracle, test_ids), "validation": claim(_VALIDATE, test_ids)}
+    return json.dumps(made, separators=(",", ":"))
+
+
+#: Cards of RECORDS: id, card, overall quality, score (acme_2: fix +1, docs words -3, docs only -4, low signal -3).
+CARDS = [
+    ("acme_1", _card("Crash on empty input: The parser fails with an error for empty input.", ["E1", "E2"], ["src/parser.py"], ["tests/test_parser.py"], ["E3", "E4"], "src/parser.py: added lines=3, removed lines=1", ["E3"], "tests/test_parser.py: added lines=1, removed lines=0", ["E4"]), 1.0, 7.0),
+    ("acme_2", _card("docs: fix typo: Spelling only.", ["E1"], [], [], [], "Patch touches docs/guide.md; added lines=1, removed lines=1.", ["E2"], _NO_TEST, []), 0.15, -9.0),
+    ("acme_3", _card("Bump lock file", ["E1"], [], [], [], "Patch touches poetry.lock; added lines=1, removed lines=1.", [], _NO_TEST, []), 0.15, -7.0),
+    ("acme_4", _card("Add regression tests: Tests only.", ["E1"], [], ["tests/test_x.py"], ["E2"], "Patch touches tests/test_x.py; added lines=1, removed lines=0.", [], "tests/test_x.py: added lines=1, removed lines=0", ["E2"]), 0.5, -2.0),
+    ("unknown", _card("unknown", [], [], [], [], "No unified diff was provided; use issue and PR text to infer the repair.", [], _NO_TEST, []), 0.0, 0.0),
+]
+
+
 def relation(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -64,7 +109,7 @@ def sql_text(value) -> str:
         return "NULL"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
-    return str(value)
+    return f"{value!r}::DOUBLE" if isinstance(value, float) else str(value)
 
 
 def sql_values(rows: list, columns: str) -> str:
