@@ -42,6 +42,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.93 and predicted[y == 1].mean() > 0.7 and predicted[y == 0].mean() < 0.1
 
 
+def test_log_ratios_and_the_least_hinge_loss():
+    """Ratios by counting, and weights that no step in any direction betters (the problem is convex)."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 7), replace=False)).astype(np.int32) for _ in range(40)]
+    y = np.array([int(3 in r or rng.random() < 0.2) for r in rows])
+    ratio = quality_classifier.log_ratio(rows, y)
+    for j in range(13):
+        held = [sum(j in r for r, label in zip(rows, y, strict=True) if label == k) + 1 for k in (0, 1)]
+        assert ratio[j] == pytest.approx(np.log(held[1] / ((y == 1).sum() + 2)) - np.log(held[0] / ((y == 0).sum() + 2)))
+    scale = ratio[:12]
+    w, b = quality_classifier.dual_coordinate_descent(rows, scale, y, epochs=3000)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum())
+    x[:, 12], sign = 1, np.where(y == 1, 1.0, -1.0)
+    top = quality_classifier.C * 40 * 20 * np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    loss = lambda v: v @ v / 2 + (top * np.maximum(0, 1 - sign * (x @ v))).sum()
+    best = np.append(w, b)
+    assert all(loss(best + d * s) > loss(best) - 1e-6 for d in rng.standard_normal((300, 13)) for s in (1e-3, 1e-1, 1))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)

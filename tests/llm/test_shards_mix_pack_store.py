@@ -44,6 +44,31 @@ def test_differencing():
     assert sharding.difference([], 3) == []
 
 
+def plain_differencing(sizes, k):
+    """The loads of largest differencing, descending, with lists."""
+    parts = [sorted([s] + [0] * (k - 1), reverse=True) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1], reverse=True)
+        a, b, *parts = parts
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0]
+
+
+def test_shards_are_those_of_differencing(spark):
+    """Groups of equal texts in one block: the loads of a plain version. (Different spreads leave no ties to break.)"""
+    rng = random.Random(11)
+    sizes = rng.sample(range(1, 4000), 60)
+    rows = [(10 * i + c, chr(97 + i % 26) * n) for i, n in enumerate(sizes) for c in range(1 + i % 3)]
+    loads = Counter()
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), k=5).collect():
+        loads[r.shard] += r.size
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 16
+    want = plain_differencing(list(groups.values()), 5)
+    assert max(loads.values()) - min(loads.values()) == want[0] - want[-1] and sum(loads.values()) == sum(want)
+
+
 def test_blocks_stay_near_equal(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(i, "x" * rng.randrange(2000)) for i in range(3000)], "doc_id bigint, text string")
