@@ -8,11 +8,11 @@ classes and do not meet. Each candidate pair is then verified: first by parities
 bit; more odd bits than the similarity allows differences rule a pair out, and never wrongly), then on all
 shingles. Only verified pairs link.
 
-A key of HOT or more documents has a leader, the one with the most copies. Documents within reach of the leader
-are compared with it alone first. Under such a key, those that are then not in the key's largest component are
-compared with all near the leader, block by block, and only pairs that parities do not rule out leave a block.
-All other pairs under a key meet in a join. So a dense group gives a star and few of its pairs, and no
-candidate is left out.
+Keys of HOT or more documents name leaders, the documents with the most copies under them; those with LEAST
+documents within reach, LEADERS at most, each have a group, of which a document is in one at most. The leader
+is compared with its group first. Of what is then not in the group's largest component, each is compared
+with all of the group, block by block, and only pairs that parities do not rule out leave a block. All
+other pairs meet in a join on their keys. So a dense group gives a star and few of its pairs, and no candidate is left out.
 
 What is missed are pairs whose fingerprints are further apart (README has the measured share). Equal sets
 of shingles are one node. Shingles are compared as 64-bit hashes. A null or empty text has no shingles,
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, split_by, staged
 from .components import components
-from .simhash import _LOWER, KEY, Plan, apart, fitting, kept_rows, lookups, make_plan
+from .simhash import _LOWER, KEY, apart, fitting, kept_rows, lookups, make_plan
 from .wordhash import Batch, groups_of, ngrams
 
 SHINGLE, PERCENT, MAX_BITS = 5, 80, 10
-#: Documents from which on a key has a leader, and the rows of a block.
-HOT, BLOCK = 256, 2048
+#: Documents from which on a key names a leader and a leader has a group, groups at most, and the rows of a block.
+HOT, LEAST, LEADERS, BLOCK = 256, 64, 1000, 2048
 _U = np.uint64
 
 
@@ -132,40 +132,59 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return staged(met.where(F.col("same") * 100 >= (F.col("n") - F.col("same")) * percent).select("a", "b"), "links")
 
 
-def met_and_near(nodes: DataFrame, plan: Plan, hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """met: (a, b) nodes that may be similar and meet under a key, but for two that are both near its leader. near: the
-    latter (KEY, node, fp, size, lead), staged."""
-    marked = []
-    for probing in (False, True):
-        rows = lookups(nodes, plan, probing).join(hot, KEY, "left").withColumns({"lead_fp": F.col("lead.fp"), "lead_size": F.col("lead.size")})
-        near = F.coalesce((apart("fp", "lead_fp") <= plan.max_bits) & fitting("size", "lead_size", percent), F.lit(False))
-        marked.append(rows.withColumn("near", near).drop("lead_fp", "lead_size", "w"))
-    index, probes = marked
-    # those near a leader meet only those that are not; side says which of the two are asked for
-    one, both = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
-    q = probes.withColumn("side", F.explode(F.when(F.col("lead").isNotNull() & ~F.col("near"), both).otherwise(one)))
-    i = index.withColumn("side", F.col("near"))
-    named = lambda df, s: df.select(*KEY, "side", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "size")])
-    within = (apart("a_fp", "b_fp") <= plan.max_bits) & fitting("a_size", "b_size", percent) & (F.col("a_node") != F.col("b_node"))
-    met = named(q, "a").join(named(i, "b"), [*KEY, "side"]).where(within).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    near = index.unionByName(probes).where("near").dropDuplicates([*KEY, "node"]).drop("near")
-    return met, staged(near, "near")
-
-
-def blockwise(rows: DataFrame, nodes: DataFrame, max_bits: int, percent: int) -> DataFrame:
-    """(a, b): pairs under a key of rows (KEY, node, root, done), not both done and of different roots, that fingerprints
-    and parities allow to be similar. Rows of a key are dealt into blocks, and each pair of blocks is a group."""
-    of_key = rows.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(of_key, KEY).join(nodes.select("node", "fp", "size", "odd"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def leaders(nodes: DataFrame, hot: DataFrame, max_bits: int, percent: int) -> list:
+    """(node, fp, size) of the leaders, those with the most nodes within reach first; LEADERS at most reach the driver."""
+    named = hot.select("lead.*").groupBy("node", "fp", "size").agg(F.count("*").alias("keys"))
+    some = named.orderBy(F.desc("keys"), "node").limit(4 * LEADERS).collect()
+    sent = nodes.sparkSession.sparkContext.broadcast(_columns_of(some))
+
+    def count(b: dict) -> dict:
+        near = within(b, *sent.value, max_bits, percent).sum(0)
+        at = np.flatnonzero(near)
+        return {"i": at, "n": near[at]}
+
+    if not some:
+        return []
+    n = {r.i: r.n for r in arrow_map(nodes.select("fp", "size"), count, "i int, n long", at_once=2_000).groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    return [some[i] for i in sorted(n, key=lambda i: (-n[i], some[i].node)) if n[i] >= LEAST][:LEADERS]
+
+
+def _columns_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r.fp for r in rows], np.int64), np.array([r["size"] for r in rows], np.int64)
+
+
+def within(b: dict, fp: np.ndarray, size: np.ndarray, max_bits: int, percent: int) -> np.ndarray:
+    """(rows of b, leaders): whether a leader is within reach and of a size that fits."""
+    own, sizes = np.array(b["fp"], np.int64), np.array(b["size"], np.int64)
+    near = np.bitwise_count((own[:, None] ^ fp[None]).view(np.uint64)) <= max_bits
+    return near & (np.minimum(sizes[:, None], size) * 100 >= np.maximum(sizes[:, None], size) * percent)
+
+
+def in_groups(nodes: DataFrame, of: list, max_bits: int, percent: int) -> DataFrame:
+    """nodes (node, fp, size, cls) with w: the number of the first leader within reach, from 1, or 0."""
+    sent = nodes.sparkSession.sparkContext.broadcast(_columns_of(of))
+
+    def put(b: dict) -> dict:
+        near = within(b, *sent.value, max_bits, percent)
+        return {**b, "w": np.where(near.any(1), near.argmax(1) + 1, 0) if len(sent.value[0]) else np.zeros(len(b["fp"]), np.int64)}
+
+    return staged(arrow_map(nodes.select("node", "fp", "size", "cls"), put, "node long, fp long, size int, cls int, w long", at_once=2_000), "grouped")
+
+
+def blockwise(rows: DataFrame, max_bits: int, percent: int) -> DataFrame:
+    """(a, b): pairs of a group w of rows (w, node, root, done, fp, size, odd), not both done and of different roots, that
+    fingerprints and parities allow to be similar. Rows of a group are dealt into blocks, and each pair of blocks is a task's."""
+    of_group = rows.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(of_group, "w").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    carried = [*KEY, "node", "root", "done", "fp", "size", "odd"]
+    carried = ["w", "node", "root", "fp", "size", "odd"]
     x = dealt.where("not done").select(*carried, F.col("own").alias("xb"), other.alias("yb"), F.lit(True).alias("asks"))
     y = dealt.select(*carried, F.col("own").alias("yb"), other.alias("xb"), F.lit(False).alias("asks"))
 
     def solve(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
         got = {c: group.column(c).to_numpy() for c in ("node", "root", "fp", "size")}
-        odd = np.array(group.column("odd").to_pylist(), object)
+        odd = group.column("odd").to_pylist()
         xi, yi = np.flatnonzero(asks), np.flatnonzero(~asks)
         out: tuple[list, list] = ([], [])
         for at in range(0, len(xi), 128):
@@ -173,30 +192,35 @@ def blockwise(rows: DataFrame, nodes: DataFrame, max_bits: int, percent: int) ->
             near = (np.bitwise_count((got["fp"][i][:, None] ^ got["fp"][yi][None]).view(np.uint64)) <= max_bits) & (got["root"][i][:, None] != got["root"][yi][None])
             r, c = np.nonzero(near)
             a, b = i[r], yi[c]
-            fine = differing_parities(odd[a].tolist(), odd[b].tolist()) * (100 + percent) <= (got["size"][a].astype(np.int64) + got["size"][b]) * (100 - percent)
+            fine = differing_parities([odd[j] for j in a.tolist()], [odd[j] for j in b.tolist()]) * (100 + percent) <= (got["size"][a].astype(np.int64) + got["size"][b]) * (100 - percent)
             out[0].append(got["node"][a[fine]])
             out[1].append(got["node"][b[fine]])
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    return x.unionByName(y).groupBy(*KEY, "xb", "yb").applyInArrow(solve, "a long, b long").distinct()
+    return x.unionByName(y).groupBy("w", "xb", "yb").applyInArrow(solve, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): pairs of nodes of at least that similarity, whose components are those of all such candidates."""
     plan, hot = make_plan(nodes.select("node", "fp", "size", "cls", "w"), max_bits, spread=2, hot=HOT)
-    met, near = met_and_near(nodes, plan, hot, percent)
-    star = near.where(F.col("node") != F.col("lead.node")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-    asked = staged(met.unionByName(star).distinct(), "asked")
-    found = verified(asked, docs, nodes, percent, shingle)
-    if near.isEmpty():
-        return found
-    rooted = staged(near.select(*KEY, "node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    by_root = rooted.groupBy(*KEY, "root").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    open_keys = staged(by_root.where("roots > 1").drop("roots"), "open-keys")
-    rest = rooted.join(open_keys, KEY).select(*KEY, "node", "root", (F.col("root") == F.col("main")).alias("done"))
-    left = staged(blockwise(rest, nodes, max_bits, percent).join(asked, ["a", "b"], "left_anti"), "asked")
+    of = leaders(nodes, hot, max_bits, percent)
+    grouped = in_groups(nodes, of, max_bits, percent)
+    i, q = (lookups(grouped, plan, probing).select(*KEY, *[F.col(c).alias(f"{s}_{c}") for c in ("node", "fp", "size", "w")]) for probing, s in ((False, "b"), (True, "a")))
+    apart_from = (F.col("a_node") != F.col("b_node")) & ((F.col("a_w") == 0) | (F.col("a_w") != F.col("b_w")))
+    met = q.join(i, KEY).where(apart_from & (apart("a_fp", "b_fp") <= max_bits) & fitting("a_size", "b_size", percent))
+    met = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    if not of:
+        return verified(staged(met.distinct(), "asked"), docs, nodes, percent, shingle)
+    leader = F.element_at(F.array(*[F.lit(r.node) for r in of]), F.col("w").cast("int"))
+    star = grouped.where("w > 0").withColumn("lead", leader).where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    found = verified(staged(met.unionByName(star).distinct(), "asked"), docs, nodes, percent, shingle)
+    rooted = staged(grouped.where("w > 0").select("w", "node").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    sizes = rooted.groupBy("w", "root").agg(F.count("*").alias("n")).groupBy("w").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    main = staged(sizes.where("roots > 1").drop("roots"), "main")  # a row for each group
+    rest = rooted.join(main, "w").join(nodes.select("node", "fp", "size", "odd"), "node").withColumn("done", F.col("root") == F.col("main"))
+    left = staged(blockwise(rest, max_bits, percent).join(star, ["a", "b"], "left_anti"), "asked")
     return found.unionByName(verified(left, docs, nodes, percent, shingle))
 
 

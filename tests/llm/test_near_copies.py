@@ -65,6 +65,7 @@ def test_stage_keeps_one_of_similar_documents(spark):
 def test_dense_groups_of_hot_keys(spark, monkeypatch):
     """Many hot keys, their leaders and what these leave, in several blocks: the same as brute force."""
     monkeypatch.setattr(near_copies, "HOT", 8)
+    monkeypatch.setattr(near_copies, "LEAST", 4)
     monkeypatch.setattr(near_copies, "BLOCK", 16)
     rng = random.Random(6)
     texts = []
