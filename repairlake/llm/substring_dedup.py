@@ -31,14 +31,16 @@ each. An empty table gives an empty result; columns other than doc_id and text a
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_by, staged, unstage
+from .common import arrow_map, slices, split_by, staged, unstage
 from .wordhash import Batch, groups_of, ngrams
 
 WINDOW, ANCHOR, RUN = 50, 8, 64
@@ -370,21 +372,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = _keyed(docs)
     spans = covered_spans(keyed.where("doc_id is not null and text is not null"), window)
 
-    @F.pandas_udf("string")
-    def cut(texts, starts, ends):
-        import re
-
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         out = []
-        for text, s, e in zip(texts, starts, ends, strict=True):
-            if text is None or s is None:
-                out.append(text)
-                continue
-            parts = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
-            keep = _kept_mask(len(parts), list(s), list(e))
-            out.append("".join(p for p, k in zip(parts, keep.tolist(), strict=True) if k).strip(" \t\n\x0b\x0c\r"))
-        return pd.Series(out, dtype=object)
+        for part in slices(pa.RecordBatch.from_arrays([texts, starts, ends], ["text", "s", "e"]), 1000):
+            some = []
+            for text, s, e in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if text is not None and s is not None:
+                    parts = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
+                    keep = _kept_mask(len(parts), s, e)
+                    text = "".join(p for p, k in zip(parts, keep.tolist(), strict=True) if k).strip(" \t\n\x0b\x0c\r")
+                some.append(text)
+            out.append(pa.array(some, pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    cut = cut.asNondeterministic()  # else the filter below gets a call of its own, and each task a second Python worker
 
     own = docs.withColumns({"_span_own": F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])})
     own = own.select("_span_own", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")

@@ -248,6 +248,15 @@ def test_substring_stage(odd, none):
     assert got == want and substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_stage_cuts_once(spark):
+    """A second call in the plan would give each task a second Python worker, which an executor's memory doesn't hold."""
+    passage = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, f"{passage}\ta", 3), (2, f" x\n{passage} y ", 4), (3, passage, 5), (4, None, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars int"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, got.collect())) == [rows[0], (2, "x y", 3), rows[3]]
+
+
 def test_automaton():
     a = substring_dedup.Automaton([[b"x", b"y", b"x", b"z"]])
     assert a.matching([b"y", b"x", b"z", b"q", b"x", b"y", b"x", b"y"]) == [1, 2, 3, 0, 1, 2, 3, 2]
