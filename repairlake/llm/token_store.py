@@ -36,6 +36,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +153,16 @@ def _stem(word: bytes) -> bytes | None:
     return stem if last.isalpha() and last < "\u0250" and last != "\u0130" else None
 
 
+def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts (UTF-8; a text may add an empty one), which of them each word is, and where each
+    text's words begin, with the end."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    coded = lists.values.dictionary_encode()
+    n = len(coded.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, n], coded.dictionary.cast(pa.binary())), b"\n")[0].as_py()
+    return joined.split(b"\n")[:n], coded.indices.to_numpy(), lists.offsets.to_numpy()
+
+
 def encode_all(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
     """The ids of each text with the end id, as bytes of the store's width."""
     its = _encoder(path)
@@ -164,14 +176,31 @@ def encode_all(texts: list[str | None], path: str, end_id: int = END_ID) -> list
         cache = its.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        split = [_fold(t).split() for t in texts[begin:stop]]
-        missing = set().union(*split).difference(cache)
-        closed = {w: s for w in missing if (s := _stem(w)) is not None}
-        whole = list(((missing - closed.keys()) | set(closed.values()) | {w[len(s) :] for w, s in closed.items()}).difference(cache))
-        cache.update(its.words(whole))
-        for w, s in closed.items():
-            cache[w] = cache[s] + cache[w[len(s) :]]
-        out += [b"".join(map(cache.__getitem__, words)) + end for words in split]
+        cache[b""] = b""
+        words, which, bounds = _distinct_words([_fold(t) for t in texts[begin:stop]])
+        each = list(map(cache.get, words))
+        missing = [i for i, ids in enumerate(each) if ids is None]
+        closed: list[tuple[bytes, bytes, bytes]] = []
+        whole: set[bytes] = set()
+        for w in map(words.__getitem__, missing):
+            stem = _stem(w)
+            if stem is None:
+                whole.add(w)
+                continue
+            closed.append((w, stem, w[len(stem) :]))
+            whole.update(x for x in closed[-1][1:] if x not in cache)
+        cache.update(its.words(list(whole)))
+        for w, stem, tail in closed:
+            cache[w] = cache[stem] + cache[tail]
+        for i in missing:
+            each[i] = cache[words[i]]
+        size = np.fromiter(map(len, each), np.int64, len(each)) // len(end)
+        n = size[which]
+        stops = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat((np.cumsum(size) - size)[which] - stops[:-1], n) + np.arange(stops[-1])
+        ids = np.frombuffer(b"".join(each), np.dtype(its.kind))[place].tobytes()
+        at = (stops[bounds] * len(end)).tolist()
+        out += [ids[i:j] + end for i, j in zip(at, at[1:])]
     return out
 
 
@@ -285,7 +314,7 @@ def write_store(docs: DataFrame, where: str, tokenizer: str, end_id: int = END_I
         return got
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = staged(arrow_map(docs, rows, "doc_id long, n_tokens long, digests array<binary>, blobs array<binary>, width int"), "encoded", "zstd")
+    made = staged(arrow_map(docs, rows, "doc_id long, n_tokens long, digests array<binary>, blobs array<binary>, width int", at_once=2000), "encoded", "zstd")
     each = made.select(F.explode(F.arrays_zip("digests", "blobs")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.blobs").alias("ids"))
     each.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{where}/chunks")
 

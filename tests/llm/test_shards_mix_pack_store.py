@@ -273,6 +273,31 @@ def test_words_encode_as_texts():
     same_ids([a + c for a in letters for c in closing])
 
 
+def test_words_are_looked_up_once_a_group(monkeypatch):
+    """However often texts hold a word. They are split where bytes.split() does, and nowhere else."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, word, *none):
+            Counted.asked += 1
+            return super().get(word, *none)
+
+    its = token_store._encoder(TOKENIZER)
+    monkeypatch.setattr(its, "cache", Counted())
+    texts = ["one two. One\x0bTWO.\x0c\r\tthree\x1c\x85\xa0four " * 3000, "", None, " \n ", "five"]
+    got = token_store.encode_all(texts, TOKENIZER)
+    assert its.wordwise and Counted.asked < 100
+    want = [its.whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(raw, "<u2").tolist() for raw in got] == want
+    words, which, bounds = token_store._distinct_words([(t or "").encode() for t in texts])
+    assert [[words[i] for i in which[a:b] if words[i]] for a, b in zip(bounds, bounds[1:])] == [(t or "").encode().split() for t in texts]
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     from tokenizers import Tokenizer
 
